@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, id_remainder, table, written
 
 #: Words of the model that are clustered one by one: the most frequent ones, and the end token.
-CLUSTERED = 4000
+CLUSTERED = 2000
 #: All other words, seen or not, are clustered by their ending, hashed to so many units.
-ENDINGS = 512
+ENDINGS = 256
 CLASSES = 64
 #: Words whose counts every task holds; all others meet their counts in a shuffle join.
 LOCAL = 131_072
@@ -66,9 +66,9 @@ def exchange_clusters(left: np.ndarray, right: np.ndarray, count: np.ndarray, un
     f(x) = x ln x.
     """
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
-    cls = np.arange(units) % classes
+    cls = (np.arange(units) % classes).astype(np.int32)
     freq = np.bincount(left, weights=count, minlength=units) + np.bincount(right, weights=count, minlength=units)
-    by_left, by_right = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+    by_left, by_right = np.argsort(left, kind="stable").astype(np.int32), np.argsort(right, kind="stable").astype(np.int32)
     starts_l, starts_r = np.searchsorted(left[by_left], np.arange(units + 1)), np.searchsorted(right[by_right], np.arange(units + 1))
     table_ = np.zeros((classes, classes))
     np.add.at(table_, (cls[left], cls[right]), count)
@@ -151,23 +151,21 @@ def encode_documents(docs: DataFrame, text: str, doc_id: str, held: str, local:
 
 
 def unit_bigrams(encoded: DataFrame) -> DataFrame:
-    """pair (left * 65536 + right) and n; each text follows an END."""
+    """pair (left * units + right) and n; each text follows an END. A task counts in one array of units squared."""
+    units = CLUSTERED + ENDINGS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
+        total = np.zeros(units * units, np.int64)
         for b in batches:
             parts = []
             for x in b.column(0):
                 u = np.frombuffer(x.as_py(), np.uint16).astype(np.int64)
-                parts.append((np.concatenate([u[-1:], u[:-1]]) << 16) | u)  # a text's last token is END
-            pairs, n = np.unique(np.concatenate(parts), return_counts=True)
-            for p, k in zip(pairs.tolist(), n.tolist(), strict=True):
-                total[p] = total.get(p, 0) + k
-            if len(total) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pair", "n"])
-                total.clear()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["pair", "n"])
+                parts.append(np.concatenate([u[-1:], u[:-1]]) * units + u)  # a text's last token is END
+            total += np.bincount(np.concatenate(parts), minlength=len(total))
+        pairs = np.nonzero(total)[0]
+        for at in range(0, len(pairs), 100_000):
+            part = pairs[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
 
     rows = encoded.filter(~F.col("_held")).select("_units").mapInArrow(run, "pair bigint, n bigint")
     return rows.groupBy("pair").agg(F.sum("n").alias("n"))
@@ -199,7 +197,7 @@ def score_texts(docs: DataFrame, held: str, text: str = "text", doc_id: str = "d
     1. Every word's count. 2. The LOCAL most frequent words go to all tasks, a bounded table; one
     pass writes each document's unit sequence, the sums over local words, and its other words.
     3. Unit bigrams over all training documents; their number is bounded by the square of CLUSTERED +
-    ENDINGS, so the exchange clustering runs on the driver. 4. Transitions are scored from the
+    ENDINGS (some 100 MB at most), so the exchange clustering runs on the driver. 4. Transitions are scored from the
     unit sequences. 5. Words that aren't local join the count table by word.
 
     log10 P(w | class) is log10((c - DISCOUNT) / (total + OPEN)) for a word with count c, and the mass
@@ -214,12 +212,16 @@ def score_texts(docs: DataFrame, held: str, text: str = "text", doc_id: str = "d
     counts = written(word_counts(docs.filter(~F.col(held)), text), "word-counts")
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    local = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(LOCAL).collect()}
+    top = counts.orderBy(F.desc("n"), "word").limit(LOCAL).toArrow()
+    local = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
+    del top
     docs_encoded = encode_documents(docs, text, doc_id, held, local)
 
     units = CLUSTERED + ENDINGS
-    grams = unit_bigrams(docs_encoded).toPandas()
-    left, right, n = (grams["pair"].to_numpy() >> 16).astype(np.int64), (grams["pair"].to_numpy() & 65535).astype(np.int64), grams["n"].to_numpy().astype(float)
+    grams = unit_bigrams(docs_encoded).toArrow()
+    pairs, n = grams["pair"].to_numpy(), grams["n"].to_numpy().astype(np.float32)
+    left, right = (pairs // units).astype(np.int32), (pairs % units).astype(np.int32)
+    del grams, pairs
     cls = exchange_clusters(left, right, n, units, CLASSES)
 
     steps = np.zeros((CLASSES, CLASSES))
