@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -14,21 +15,27 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_path, table
 
-#: Pieces of text whose encoding a Python worker remembers; it starts anew beyond. Speed only.
-REMEMBERED = 400_000
-#: A space with white space beside it or at an end of the text: there a cut could change tokens.
-_UNEVEN = re.compile(r"(?:^|\s)[ ]|[ ](?:\s|$)")
+#: Words whose ids a Python worker remembers; it starts anew beyond. Speed only.
+REMEMBERED = 700_000
+#: A space or line break with white space beside it or at an end of the text: there a cut could change tokens.
+_UNEVEN = re.compile(r"(?:^|\s)[ \n]|[ \n](?:\s|$)")
+_POINTS = re.compile(r"([^\W\d_])([.,;:!?]+)(?=[ \n]|$)")
+_TAIL = ".,;:!?"
 _WORKERS: dict[str, "PieceEncoder"] = {}
 
 
 class PieceEncoder(dict):
     """Token ids of a text, encoded piece by piece, a piece's ids remembered as little-endian uint32.
 
-    A text is cut before each single space that stands between other characters. No pre-token of
-    the two supported pre-tokenizers reaches across such a place (byte level: a space opens the next
-    pre-token; word BPE: white space is dropped), neither do merges, and special strings hold no
-    space, so the concatenation is what the library gives for the whole text. Texts with any other
-    space go to the library whole.
+    The concatenation is what the library gives for the whole text, by the kind of pre-tokenizer:
+
+    - Word BPE drops white space and lowers case. Texts are cut at spaces and line breaks, and
+      between a letter and the points after it; A to Z are lowered first. Special strings count by
+      case, so texts with "<|" go to the library whole.
+    - Byte level: a single space or line break between other characters opens a pre-token, and no
+      merge reaches across. Texts are cut before it; texts with other spaces go to the library whole.
+      A piece that ends in a letter and points is its word, which is remembered, and the points.
+    - Any other tokenizer: all texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -39,34 +46,71 @@ class PieceEncoder(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        normalizers = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", ())]
+        splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [told.get("pre_tokenizer") or {}]
+        self.words = normalizers[-1:] == ["Lowercase"] and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
+        self.bytes = told.get("normalizer") is None and splits[0].get("type") == "ByteLevel" and not splits[0].get("add_prefix_space")
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    @staticmethod
+    def spelled(word: str) -> str:
+        """A piece as it stands in its text: after a space unless after a line break."""
+        return word if word[:1] == "\n" else " " + word
+
+    def cut(self, text: str) -> list[str] | None:
+        """The pieces of a text, the first one empty or without a space before it; None: to be encoded whole."""
+        if self.words and "<|" not in text:
+            lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes: A to Z only
+            return ["", *_POINTS.sub(r"\1 \2", lowered).replace("\n", " ").split(" ")]
+        if self.bytes and not _UNEVEN.search(text):
+            return text.replace("\n", " \n").split(" ")
+        return None
+
+    def plain(self, piece: str) -> str:
+        """The word to remember: the piece less its points, at the byte level."""
+        word = piece.rstrip(_TAIL) if self.bytes else piece
+        return word if word and word[-1].isalpha() else piece
+
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[piece] = self.whole(" " + piece)
-        return out
+        word = self.plain(piece)
+        ids = self.get(word)
+        if ids is None:
+            ids = self[word] = self.whole(self.spelled(word))
+        tail = piece[len(word) :]
+        if not tail:
+            return ids
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = self.whole(tail)
+        return ids + self.tails[tail]
 
     def learn(self, texts: list[str]) -> list[list[str] | None]:
-        """The pieces of each text (None: encode whole); all pieces not yet known are encoded in one call."""
-        cut = [None if _UNEVEN.search(t) else t.split(" ") for t in texts]
-        new = {p for pieces in cut if pieces for p in pieces[1:]}.difference(self)
-        if len(self) + len(new) > REMEMBERED:
+        """The pieces of each text; all words not yet known are encoded in a few calls."""
+        cut = [self.cut(t) for t in texts]
+        pieces: set[str] = set()
+        for c in cut:
+            if c:
+                pieces.update(c[1:])
+        order = list({self.plain(p) for p in pieces.difference(self)}.difference(self))
+        if len(self) + len(order) > REMEMBERED:
             self.clear()
-            new = {p for pieces in cut if pieces for p in pieces[1:]}
-        order = list(new)
+            order = list({self.plain(p) for p in pieces})
         for at in range(0, len(order), 4096):
             part = order[at : at + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast([" " + p for p in part], add_special_tokens=False), strict=True):
+            for p, e in zip(part, self.library.encode_batch_fast([self.spelled(p) for p in part], add_special_tokens=False), strict=True):
                 self[p] = array("I", e.ids).tobytes()
         return cut
 
     def encode(self, text: str, pieces: list[str] | None) -> bytes:
         if pieces is None:
             return self.whole(text)
-        return self.whole(pieces[0]) + b"".join(map(self.__getitem__, pieces[1:]))
+        return (self.whole(pieces[0]) if pieces[0] else b"") + b"".join(map(self.__getitem__, pieces[1:]))
 
 
 def worker_encoder(path: str) -> PieceEncoder:
