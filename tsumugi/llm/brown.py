@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,26 +15,37 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, id_remainder, table, written
 
-#: Words of the model that are clustered one by one: the most frequent ones, and the end token.
-CLUSTERED = 2000
-#: All other words, seen or not, are clustered by their ending, hashed to so many units.
-ENDINGS = 256
-CLASSES = 64
-#: Words whose counts every task holds; all others meet their counts in a shuffle join.
-LOCAL = 131_072
 END = b""
 ALPHA, DISCOUNT, OPEN = 0.1, 0.5, 0.1
 
 
+@dataclass(frozen=True)
+class Size:
+    """The model's size; nothing here depends on the input, and every word is counted whatever its rank.
+
+    clustered: the most frequent words, clustered one by one. endings: units of all other words, seen or
+    not, by their hashed ending. local: at most so many words, the most frequent ones, have their
+    counts in every task; all others meet theirs in a shuffle join.
+    """
+
+    clustered: int = 2000
+    endings: int = 256
+    classes: int = 64
+    local: int = 131_072
+
+    @property
+    def units(self) -> int:
+        return self.clustered + self.endings
+
+    def ending_unit(self, word: bytes) -> int:
+        return self.clustered + zlib.crc32(word[-3:]) % self.endings
+
+
 def tokens_of(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case, then END."""
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def ending_unit(word: bytes) -> int:
-    return CLUSTERED + zlib.crc32(word[-3:]) % ENDINGS
-
-
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """word (binary) and n over all documents: counted in each task, a few hundred thousand words at a time, then summed."""
     bounded_batches(docs.sparkSession)
@@ -57,6 +69,25 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The most frequent words and their counts, most frequent first, as many whole count bands as fit into `most`.
+
+    A histogram over bands of counts (64 to the octave, so some thousand rows) tells where to cut;
+    then each task sends its words beyond the cut and nothing else. No task sees all candidates.
+    """
+    banded = counts.withColumn("band", F.floor(F.log2("n") * 64).cast("int"))
+    total, cut = 0, None
+    for band, words in sorted(((r["band"], r["count"]) for r in banded.groupBy("band").count().collect()), reverse=True):
+        if total + words > most:
+            break
+        total, cut = total + words, band
+    if cut is None:
+        return {}
+    top = banded.filter(F.col("band") >= cut).select("word", "n").toArrow()
+    rows = sorted(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return dict(rows)
+
+
 def exchange_clusters(left: np.ndarray, right: np.ndarray, count: np.ndarray, units: int, classes: int, rounds: int = 12) -> np.ndarray:
     """Class of each unit: words move one at a time to the class that raises the bigram likelihood most.
 
@@ -104,7 +135,7 @@ def exchange_clusters(left: np.ndarray, right: np.ndarray, count: np.ndarray, un
     return cls
 
 
-def encode_documents(docs: DataFrame, text: str, doc_id: str, held: str, local: dict[bytes, int]) -> DataFrame:
+def encode_documents(docs: DataFrame, text: str, doc_id: str, held: str, local: dict[bytes, int], size: Size) -> DataFrame:
     """A row for each document, with what the broadcast words settle; written to the shared folder.
 
     _row (unique), _id, _held, _n (tokens), _known, _base and _emit (sums over local words of
@@ -123,7 +154,7 @@ def encode_documents(docs: DataFrame, text: str, doc_id: str, held: str, local:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = sent.value
         place = {w: i for i, w in enumerate(words)}
-        unit = np.array([i if i < CLUSTERED else ending_unit(w) for i, w in enumerate(words)], np.uint16)
+        unit = np.array([i if i < size.clustered else size.ending_unit(w) for i, w in enumerate(words)], np.uint16)
         base = np.array([math.log10(c + ALPHA) for c in counts])
         emit = np.array([math.log10(c - DISCOUNT) for c in counts])
         serial = TaskContext.get().partitionId() << 40
@@ -137,9 +168,9 @@ def encode_documents(docs: DataFrame, text: str, doc_id: str, held: str, local:
                 units[known] = unit[at[known]]
                 rare: Counter = Counter()
                 for i in np.nonzero(~known)[0].tolist():
-                    units[i] = ending_unit(tokens[i])
+                    units[i] = size.ending_unit(tokens[i])
                     rare[tokens[i]] += 1
-                row = (serial, len(tokens), int(known.sum()), float(base[at[known]].sum()), float(emit[at[known]].sum()), units.tobytes(), [{"word": w, "times": n, "unit": ending_unit(w)} for w, n in rare.items()])
+                row = (serial, len(tokens), int(known.sum()), float(base[at[known]].sum()), float(emit[at[known]].sum()), units.tobytes(), [{"word": w, "times": n, "unit": size.ending_unit(w)} for w, n in rare.items()])
                 serial += 1
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
@@ -150,9 +181,8 @@ def encode_documents(docs: DataFrame, text: str, doc_id: str, held: str, local:
     return written(rows.mapInArrow(run, f"_row bigint, _id {kind}, _held boolean, _n bigint, _known bigint, _base double, _emit double, _units binary, _rare array<struct<word:binary,times:bigint,unit:int>>"), "encoded")
 
 
-def unit_bigrams(encoded: DataFrame) -> DataFrame:
+def unit_bigrams(encoded: DataFrame, units: int) -> DataFrame:
     """pair (left * units + right) and n; each text follows an END. A task counts in one array of units squared."""
-    units = CLUSTERED + ENDINGS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(units * units, np.int64)
@@ -189,15 +219,15 @@ def transitions(encoded: DataFrame, cls: np.ndarray, log_step: np.ndarray, log_t
     return encoded.mapInArrow(run, schema)
 
 
-def score_texts(docs: DataFrame, held: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score_texts(docs: DataFrame, held: str, text: str = "text", doc_id: str = "doc_id", size: Size | None = None) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     held: a boolean column; the model learns from the other rows, all of them and whole.
 
-    1. Every word's count. 2. The LOCAL most frequent words go to all tasks, a bounded table; one
+    1. Every word's count. 2. The most frequent words go to all tasks, a bounded table; one
     pass writes each document's unit sequence, the sums over local words, and its other words.
-    3. Unit bigrams over all training documents; their number is bounded by the square of CLUSTERED +
-    ENDINGS (some 100 MB at most), so the exchange clustering runs on the driver. 4. Transitions are scored from the
+    3. Unit bigrams over all training documents; their number is bounded by the square of the
+    model's units (some 100 MB at most), so the exchange clustering runs on the driver. 4. Transitions are scored from the
     unit sequences. 5. Words that aren't local join the count table by word.
 
     log10 P(w | class) is log10((c - DISCOUNT) / (total + OPEN)) for a word with count c, and the mass
@@ -208,38 +238,35 @@ def score_texts(docs: DataFrame, held: str, text: str = "text", doc_id: str = "d
     No training rows: counts are zero, and both scores follow from that. An empty table gives an
     empty table; other columns are not read.
     """
-    spark = docs.sparkSession
+    spark, size = docs.sparkSession, size or Size()
     counts = written(word_counts(docs.filter(~F.col(held)), text), "word-counts")
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(LOCAL).toArrow()
-    local = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    del top
-    docs_encoded = encode_documents(docs, text, doc_id, held, local)
+    local = frequent_words(counts, size.local)
+    docs_encoded = encode_documents(docs, text, doc_id, held, local, size)
 
-    units = CLUSTERED + ENDINGS
-    grams = unit_bigrams(docs_encoded).toArrow()
+    units, clusters = size.units, size.classes
+    grams = unit_bigrams(docs_encoded, units).toArrow()
     pairs, n = grams["pair"].to_numpy(), grams["n"].to_numpy().astype(np.float32)
     left, right = (pairs // units).astype(np.int32), (pairs % units).astype(np.int32)
     del grams, pairs
-    cls = exchange_clusters(left, right, n, units, CLASSES)
+    cls = exchange_clusters(left, right, n, units, clusters)
 
-    steps = np.zeros((CLASSES, CLASSES))
+    steps = np.zeros((clusters, clusters))
     np.add.at(steps, (cls[left], cls[right]), n)
-    share = (steps.sum(0) + OPEN) / (steps.sum() + OPEN * CLASSES)
+    share = (steps.sum(0) + OPEN) / (steps.sum() + OPEN * clusters)
     log_step = np.log10((steps + share[None, :]) / (steps.sum(1, keepdims=True) + 1))
     in_class = steps.sum(0)
     # Word types of each unit: one for a clustered word, counted for the endings.
     types = np.zeros(units)
-    types[: min(len(local), CLUSTERED)] = 1
-    clustered = list(local)[:CLUSTERED]
-    for r in _types_by_ending(counts, clustered).collect():
+    types[: min(len(local), size.clustered)] = 1
+    for r in _types_by_ending(counts, list(local)[: size.clustered], size).collect():
         types[r["unit"]] = r["types"]
-    kinds_in_class = np.bincount(cls, weights=types, minlength=CLASSES)
+    kinds_in_class = np.bincount(cls, weights=types, minlength=clusters)
     log_total, log_unseen = np.log10(in_class + OPEN), np.log10(DISCOUNT * kinds_in_class + OPEN)
 
     scored = transitions(docs_encoded, cls, log_step, log_total)
-    unseen = spark.createDataFrame([(u, float(log_unseen[cls[u]])) for u in range(CLUSTERED, units)], "unit int, unseen double")
+    unseen = spark.createDataFrame([(u, float(log_unseen[cls[u]])) for u in range(size.clustered, units)], "unit int, unseen double")
     rare = docs_encoded.select("_row", F.explode("_rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.times").alias("times"), F.col("r.unit").alias("unit"))
     met = rare.join(counts.select("word", F.col("n").alias("c")), "word", "left").join(F.broadcast(unseen), "unit")
     seen = F.col("c").isNotNull()
@@ -259,7 +286,7 @@ def score_texts(docs: DataFrame, held: str, text: str = "text", doc_id: str = "d
     )
 
 
-def _types_by_ending(counts: DataFrame, clustered: list[bytes]) -> DataFrame:
+def _types_by_ending(counts: DataFrame, clustered: list[bytes], size: Size) -> DataFrame:
     """unit and types: distinct training words outside the clustered ones by ending unit."""
     own = frozenset(clustered)
     spark = counts.sparkSession
@@ -268,7 +295,7 @@ def _types_by_ending(counts: DataFrame, clustered: list[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in batches:
-            n.update(ending_unit(w) for w in b.column(0).to_pylist() if w not in sent.value)
+            n.update(size.ending_unit(w) for w in b.column(0).to_pylist() if w not in sent.value)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["unit", "types"])
 
     return counts.select("word").mapInArrow(run, "unit int, types bigint").groupBy("unit").agg(F.sum("types").alias("types"))
