@@ -25,14 +25,15 @@ def build_directory(entries: DataFrame, capacity: int, depth: int) -> tuple[Data
     """
     left, closed, depths = entries.select("_key"), [], []
     while True:
-        counts = left.groupBy(prefix(F.col("_key"), depth).alias("_prefix")).agg(F.count("*").alias("_n"))
+        counts = written(left.groupBy(prefix(F.col("_key"), depth).alias("_prefix")).agg(F.count("*").alias("_n")), "buckets")
         last = depth == 64
         closed.append(counts.filter(F.lit(last) | (F.col("_n") <= capacity)).select(F.lit(depth).alias("_depth"), "_prefix", "_n"))
         depths.append(depth)
         over = counts.filter(F.col("_n") > capacity)
         if last or over.isEmpty():
             return reduce(DataFrame.unionByName, closed), depths
-        left = left.withColumn("_prefix", prefix(F.col("_key"), depth)).join(over.select("_prefix"), "_prefix", "left_semi").select("_key")
+        open_keys = left.withColumn("_prefix", prefix(F.col("_key"), depth)).join(over.select("_prefix"), "_prefix", "left_semi")
+        left = written(open_keys.select("_key"), "open-keys")  # else each round would run all rounds before it
         depth += 1
 
 
