@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, id_remainder, table
 
@@ -243,7 +244,8 @@ def label_languages(docs: DataFrame, model: Crf, text: str = "text", with_words:
 
     schema = docs.select(*keep).schema.add("_lang", "string").add("_score", "double")
     if with_words:
-        schema = schema.add("_words", "array<struct<word:string,lang:string,p:double>>")
+        word = T.StructType().add("word", "string").add("lang", "string").add("p", "double")
+        schema = schema.add("_words", T.ArrayType(word))
     return rows.mapInArrow(run, schema)
 
 
