@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entries as E
@@ -43,10 +43,11 @@ def part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_terms(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """The first characters of names and types, each once; pos by order."""
+    """The first characters of names and types, each once, under the least part that has them."""
     p = table(spark, sf_dir, "part")
-    both = p.select(F.substring("p_name", 1, size).alias("term")).union(p.select(F.substring("p_type", 1, size).alias("term"))).distinct()
-    return both.select((F.row_number().over(Window.orderBy("term")) - 1).cast("bigint").alias("pos"), "term")  # distinct prefixes only
+    cuts = F.array(F.struct(F.lit(0).alias("n"), F.substring("p_name", 1, size).alias("term")), F.struct(F.lit(1).alias("n"), F.substring("p_type", 1, size).alias("term")))
+    both = p.select("p_partkey", F.inline(cuts))
+    return both.groupBy("term").agg(F.min(2 * F.col("p_partkey") + F.col("n")).alias("pos")).select("pos", "term")
 
 
 def document_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,18 +156,18 @@ def accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glosses_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources as entries, their documents as glosses: the first 40 characters in the language, by id."""
-    d = table(spark, sf_dir, "documents")
-    gloss = F.struct("doc_id", "lang", F.substring("text", 1, 40).alias("text"))
-    e = d.groupBy("source").agg(F.sort_array(F.collect_list(gloss)).alias("gloss"))
-    e = e.select("source", F.array(F.struct("gloss")).alias("sense"))
-    return e.select("source", F.array_join(E.glosses("fr"), "/").alias("glosses"), E.first_gloss().alias("first_gloss"))
+    """Orders as entries, a sense with one gloss for each line: the return flag is its language."""
+    gloss = F.struct(F.col("l_returnflag").alias("lang"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("text"))
+    sense = F.struct("l_linenumber", "l_linestatus", "l_returnflag", F.array(gloss).alias("gloss"))
+    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(sense)).alias("sense"))
+    return e.select("l_orderkey", F.array_join(E.glosses("N"), "/").alias("glosses"), E.first_gloss().alias("first_gloss"))
 
 
 def first_seen_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn = F.struct("turn", F.array("role").alias("partOfSpeech"))
-    e = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("sense"))
-    return e.select("conv_id", F.array_join(E.parts_of_speech(), ",").alias("roles"))
+    """The return flags of an order's lines as parts of speech."""
+    line = F.struct("l_linenumber", F.array("l_returnflag").alias("partOfSpeech"))
+    e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("sense"))
+    return e.select("l_orderkey", F.array_join(E.parts_of_speech(), ",").alias("flags"))
 
 
 def xref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +290,7 @@ QUERIES = {f.__name__: f for f in (
 _PARTS = "SELECT 0 AS script_rank, 'kana' AS script, p_name AS key, p_partkey AS seq_id FROM part UNION ALL SELECT 1, 'kanji', p_brand, p_partkey FROM part UNION ALL SELECT 2, 'romaji', p_type, p_partkey FROM part"
 _KEYS = f"keys AS (SELECT script_rank, script, key, length(key)::INT AS key_len, min(seq_id) AS seq_id FROM ({_PARTS}) GROUP BY ALL)"
 _POSTINGS = "postings AS (SELECT DISTINCT doc_id, lower(t) AS token FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+')) AS t FROM documents) WHERE t <> '')"
-_CUT = "terms AS (SELECT row_number() OVER (ORDER BY term) - 1 AS pos, term FROM (SELECT DISTINCT substr(p_name, 1, 6) AS term FROM part UNION SELECT DISTINCT substr(p_type, 1, 6) FROM part))"
+_CUT = "terms AS (SELECT min(pos) AS pos, term FROM (SELECT 2 * p_partkey AS pos, substr(p_name, 1, 6) AS term FROM part UNION ALL SELECT 2 * p_partkey + 1, substr(p_type, 1, 6) FROM part) GROUP BY term)"
 
 
 def _values(rows, columns: str) -> str:
@@ -327,8 +328,8 @@ ORACLES = {
     "filter_each": """SELECT 'pos' AS filter, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE contains(l_returnflag, 'A') UNION ALL SELECT 'misc', count(DISTINCT l_orderkey) FROM lineitem WHERE contains(l_linestatus, 'O')
         UNION ALL SELECT 'field', count(DISTINCT l_orderkey) FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT 'dialect', 0 UNION ALL SELECT 'none', count(DISTINCT l_orderkey) FROM lineitem""",
     "accessors": "SELECT r_regionkey::BIGINT AS seq_id, arg_min(n_name, n_nationkey) AS primary_kanji, arg_max(n_name, n_nationkey) AS primary_kana, arg_min(n_name, n_nationkey) AS headword, bool_or(n_nationkey >= 20) AS is_common FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey",
-    "glosses_by_language": "SELECT source, coalesce(string_agg(substr(text, 1, 40), '/' ORDER BY doc_id) FILTER (lang = 'fr'), '') AS glosses, arg_min(substr(text, 1, 40), doc_id) AS first_gloss FROM documents GROUP BY source",
-    "first_seen_distinct": "SELECT conv_id, string_agg(role, ',' ORDER BY t) AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id",
+    "glosses_by_language": "SELECT l_orderkey, coalesce(string_agg(l_linestatus || l_linenumber, '/' ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag = 'N'), '') AS glosses, first(l_linestatus || l_linenumber ORDER BY l_linenumber, l_linestatus) AS first_gloss FROM lineitem GROUP BY l_orderkey",
+    "first_seen_distinct": "SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY n, l_returnflag) AS flags FROM (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS n FROM lineitem GROUP BY ALL) GROUP BY l_orderkey",
     "xref_resolve": "SELECT r_name AS term, n_name AS reading, r_regionkey::BIGINT AS seq_id, 1.0::DOUBLE AS score FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT r_name, NULL, r_regionkey, 1.0 FROM region",
     "by_id": "SELECT l_orderkey, l_linenumber, p_partkey AS seq_id, 1.0::DOUBLE AS score FROM lineitem JOIN part ON l_partkey = p_partkey",
     "page_range": "SELECT p_partkey, p_name FROM part WHERE p_partkey BETWEEN 50 AND 74",
