@@ -36,28 +36,25 @@ def test_quality_measures(spark, folder):
     assert prose and all(prose)
 
 
-def brute_em(histogram, rounds=200):
-    """The same likelihood by plain loops over single documents' votes."""
-    docs = [v for v, c in histogram for _ in range(c)]
-    k = len(docs[0])
-    prior, good, bad = 0.8, [[0.2, 0.8]] * k, [[0.8, 0.2]] * k
+def brute_em(docs, strength, rounds):
+    """The same posterior by plain loops over single documents' votes."""
+    k, start, expected = len(docs[0]), 0.8, quality.EXPECTED
+    prior, tables = start, [[list(e) for _ in range(k)] for e in expected]
     for _ in range(rounds):
         p = []
         for v in docs:
             a, b = prior, 1 - prior
             for i, x in enumerate(v):
-                if x:
-                    a *= good[i][x > 0]
-                    b *= bad[i][x > 0]
+                a *= tables[0][i][x + 1]
+                b *= tables[1][i][x + 1]
             p.append(a / (a + b))
-        new_good, new_bad = [], []
-        for i in range(k):
-            g = [0.2 + sum(q for q, v in zip(p, docs, strict=True) if v[i] == -1), 0.8 + sum(q for q, v in zip(p, docs, strict=True) if v[i] == 1)]
-            b = [0.8 + sum(1 - q for q, v in zip(p, docs, strict=True) if v[i] == -1), 0.2 + sum(1 - q for q, v in zip(p, docs, strict=True) if v[i] == 1)]
-            new_good.append([x / sum(g) for x in g])
-            new_bad.append([x / sum(b) for x in b])
-        prior, good, bad = (sum(p) + 0.8) / (len(docs) + 1), new_good, new_bad
-    return prior, good
+        held = [strength * len(docs) * start, strength * len(docs) * (1 - start)]
+        for y, q in ((0, p), (1, [1 - x for x in p])):
+            for i in range(k):
+                s = [held[y] * expected[y][j] + sum(w for w, v in zip(q, docs, strict=True) if v[i] == j - 1) for j in range(3)]
+                tables[y][i] = [x / sum(s) for x in s]
+        prior = (held[0] + sum(p)) / (len(docs) * (1 + strength))
+    return prior, tables
 
 
 def test_em():
@@ -66,17 +63,20 @@ def test_em():
     rng = random.Random(1)
     docs = []
     for _ in range(600):
-        y = rng.random() < 0.7
-        docs.append(tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < acc) == y else -1) for acc in (0.9, 0.8, 0.7, 0.95)))
+        good = rng.random() < 0.7
+        docs.append(tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < acc) == good else -1) for acc in (0.9, 0.8, 0.7, 0.95)))
     histogram = list(Counter(docs).items())
-    model = quality.fit_votes(histogram)
-    prior, good = brute_em(histogram)
-    assert model.prior == pytest.approx(prior, abs=1e-5)
-    assert abs(model.prior - 0.7) < 0.08
-    assert [model.accuracy(i) for i in range(4)] == pytest.approx([0.9, 0.8, 0.7, 0.95], abs=0.08)
+    model = quality.fit_votes(histogram, rounds=40)
+    prior, tables = brute_em(docs, quality.STRENGTH, 40)
+    assert model.prior == pytest.approx(prior, abs=1e-6)
     for i in range(4):
-        assert model.good[i][2] / (model.good[i][0] + model.good[i][2]) == pytest.approx(good[i][1], abs=1e-4)
+        assert model.good[i] == pytest.approx(tables[0][i], abs=1e-6) and model.bad[i] == pytest.approx(tables[1][i], abs=1e-6)
+    free = quality.fit_votes(histogram, strength=0.001)
+    assert abs(free.prior - 0.7) < 0.08
+    assert [free.accuracy(i) for i in range(4)] == pytest.approx([0.9, 0.8, 0.7, 0.95], abs=0.08)
     assert quality.fit_votes([]).prior == 0.8
+    ten = quality.fit_votes([(v, 10 * c) for v, c in histogram], rounds=40)
+    assert ten.prior == pytest.approx(model.prior)  # tables of any size are judged alike
 
 
 def test_quality_pipeline_form(spark):

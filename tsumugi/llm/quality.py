@@ -22,14 +22,14 @@ class Rule:
 
 RULES = (
     Rule("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2.2 * n_words or word_chars > 13 * n_words"),
-    Rule("symbols", "n_symbols * 100 <= n_words", "n_symbols * 10 > n_words"),
-    Rule("repeated_lines", "n_dup_lines = 0 and n_lines > 1", "n_dup_lines * 5 > n_lines"),
-    Rule("repeated_words", "n_repeat_words * 20 <= n_words", "n_repeat_words * 4 > n_words"),
-    Rule("size", "n_words >= 60", "n_words < 30"),
+    Rule("symbols", "n_symbols * 50 <= n_words", "n_symbols * 5 > n_words"),
+    Rule("symbol_runs", "n_symbol_runs * 50 <= n_words", "n_symbol_runs * 8 > n_words"),
+    Rule("letters", "n_letters * 100 >= word_chars * 94", "n_letters * 100 < word_chars * 90"),
+    Rule("repeated_lines", "n_dup_lines = 0 and n_lines > 1", "n_dup_lines * 2 > n_lines"),
+    Rule("repeated_words", "n_repeat_words * 20 <= n_words", "n_repeat_words * 10 > n_words * 3"),
     Rule("sentences", "n_ended * 2 >= n_lines", "n_ended * 5 < n_lines"),
-    Rule("letters", "n_letters * 10 >= word_chars * 8", "n_letters * 10 < word_chars * 6"),
 )
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_letters")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_letters", "n_symbol_runs")
 
 
 def _kept_chars(text: Column, drop: str) -> Column:
@@ -57,7 +57,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": F.expr("aggregate(transform(_q_p, (p, k) -> least(3, coalesce(get(_q_p, k + 1), p + 3) - p)), 0, (a, x) -> a + x)"),
         "n_lines": F.size("_q_l"),
         "n_ended": F.size(F.filter("_q_l", lambda x: x.rlike(r"[.!?:;\"')\]][\x20\x09-\x0D]*$"))),
-        "n_letters": _kept_chars(F.col("_q_t"), r"[^\p{L}]+"),
+        "n_symbol_runs": F.regexp_count("_q_t", F.lit("[#*$%&|<>]+")),
+        "n_letters": _kept_chars(F.col("_q_t"), r"[^\p{L}\p{N}]+"),
     }
     return df.select(*docs.columns, *[c.cast("long").alias(f"_q_{k}") for k, c in out.items()])
 
@@ -76,61 +77,66 @@ def _own(cond: str) -> str:
     return cond
 
 
+#: What a rule is expected to do, before any data: P(vote) of -1, 0, 1 for good and for bad texts.
+EXPECTED = ((0.02, 0.23, 0.75), (0.35, 0.25, 0.40))
+#: Documents that these expectations are worth, as a share of all documents.
+STRENGTH = 0.2
+
+
 @dataclass(frozen=True)
 class VoteModel:
     """prior: share of good texts. good, bad: per rule P(vote | class) of votes -1, 0, 1."""
 
     prior: float
-    good: list[tuple[float, float, float]]
-    bad: list[tuple[float, float, float]]
+    good: list[tuple[float, ...]]
+    bad: list[tuple[float, ...]]
+
+    def weights(self, rule: int) -> list[float]:
+        """Log odds of good for votes -1, 0, 1."""
+        return [math.log(g / b) for g, b in zip(self.good[rule], self.bad[rule], strict=True)]
 
     def log_odds(self, votes: list[Column]) -> Column:
         out = F.lit(math.log(self.prior / (1 - self.prior)))
-        for v, g, b in zip(votes, self.good, self.bad, strict=True):
-            w = [math.log(x / y) for x, y in zip(g, b, strict=True)]
+        for k, v in enumerate(votes):
+            w = self.weights(k)
             out = out + F.when(v < 0, w[0]).when(v > 0, w[2]).otherwise(w[1])
         return out
 
+    def posterior(self, votes: tuple[int, ...]) -> float:
+        z = math.log(self.prior / (1 - self.prior)) + sum(self.weights(k)[v + 1] for k, v in enumerate(votes))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
     def accuracy(self, rule: int) -> float:
         """P(the vote is right | the rule votes)."""
         g, b, p = self.good[rule], self.bad[rule], self.prior
-        cast_votes = p * (g[0] + g[2]) + (1 - p) * (b[0] + b[2])
-        return (p * g[2] + (1 - p) * b[0]) / cast_votes if cast_votes else 0.5
+        return (p * g[2] + (1 - p) * b[0]) / (p * (g[0] + g[2]) + (1 - p) * (b[0] + b[2]))
 
 
-def fit_votes(histogram: list[tuple[tuple[int, ...], int]], rounds: int = 200, smoothing: float = 1.0) -> VoteModel:
+def fit_votes(histogram: list[tuple[tuple[int, ...], int]], rounds: int = 300, strength: float = STRENGTH, start: float = 0.8) -> VoteModel:
     """Expectation-maximisation over vote patterns (at most 3 ** rules of them) and their counts.
 
-    Starts from rules that are right four times in five and mostly good texts, which fixes which
-    class is called good. Abstentions carry no evidence: P(abstain) is one and the same in both classes.
-    No patterns: the start values.
+    Each rule has its own P(vote | class) with abstention as a vote, since rules that only ever
+    accuse are silent on good texts. EXPECTED enters as Dirichlet pseudo-counts in proportion to the
+    input, so tables of any size are judged alike, and the classes can't swap. No patterns: the start values.
     """
     n = len(histogram[0][0]) if histogram else len(RULES)
-    prior, good, bad = 0.8, [(0.2, 0.8)] * n, [(0.8, 0.2)] * n  # P(-1), P(1) given that it votes
+    model = VoteModel(start, [EXPECTED[0]] * n, [EXPECTED[1]] * n)
     total = sum(c for _, c in histogram)
     for _ in range(rounds if total else 0):
-        sums = [[[smoothing * 0.2, smoothing * 0.8], [smoothing * 0.8, smoothing * 0.2]] for _ in range(n)]
-        mass = 0.0
+        held = (strength * total * start, strength * total * (1 - start))
+        sums = [[[held[y] * p for p in EXPECTED[y]] for y in (0, 1)] for _ in range(n)]
+        mass = held[0]
         for votes, count in histogram:
-            z = math.log(prior / (1 - prior))
-            for k, v in enumerate(votes):
-                if v:
-                    z += math.log(good[k][v > 0] / bad[k][v > 0])
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+            p = model.posterior(votes)
             mass += p * count
             for k, v in enumerate(votes):
-                if v:
-                    sums[k][0][v > 0] += p * count
-                    sums[k][1][v > 0] += (1 - p) * count
-        new = min(0.999, max(0.001, (mass + 0.8) / (total + 1)))
-        good = [(s[0][0] / sum(s[0]), s[0][1] / sum(s[0])) for s in sums]
-        bad = [(s[1][0] / sum(s[1]), s[1][1] / sum(s[1])) for s in sums]
-        prior, moved = new, abs(new - prior)
-        if moved < 1e-9:
+                sums[k][0][v + 1] += p * count
+                sums[k][1][v + 1] += (1 - p) * count
+        new = VoteModel(mass / (total + sum(held)), *([tuple(x / sum(s[y]) for x in s[y]) for s in sums] for y in (0, 1)))
+        model, moved = new, abs(new.prior - model.prior)
+        if moved < 1e-10:
             break
-    share = [sum(c for v, c in histogram if v[k]) / total if total else 0.5 for k in range(n)]
-    whole = lambda s, p: (p[0] * max(s, 1e-9), max(1 - s, 1e-9), p[1] * max(s, 1e-9))
-    return VoteModel(prior, [whole(s, p) for s, p in zip(share, good, strict=True)], [whole(s, p) for s, p in zip(share, bad, strict=True)])
+    return model
 
 
 def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
