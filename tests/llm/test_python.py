@@ -248,6 +248,14 @@ def test_drop_near(spark):
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(min_codepoint=97, max_codepoint=0x260), min_size=1, max_size=14), max_size=8))
+def test_plain_words_give_the_librarys_ids(words):
+    library, text = Tokenizer.from_file(WORD), " ".join(words)
+    (data,) = tokens.encoded([text], WORD)
+    assert np.frombuffer(data, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" .,;:!?\n\t'sİΣß<|endoftext|>́ 　"), st.characters(codec="utf-8")), max_size=60), max_size=4))

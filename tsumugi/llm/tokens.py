@@ -24,6 +24,16 @@ _TAIL = ".,;:!?"
 _WORKERS: dict[str, "PieceEncoder"] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level models write each byte: its Latin-1 one if that can be seen, else one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_BYTES = byte_letters()
+
+
 class PieceEncoder(dict):
     """Token ids of a text, encoded piece by piece, a piece's ids remembered as little-endian uint32.
 
@@ -101,12 +111,33 @@ class PieceEncoder(dict):
         if len(self) + len(order) > REMEMBERED:
             self.clear()
             order = list({self.plain(p) for p in pieces})
+        if self.words:
+            order = self.learn_plain(order)
         for at in range(0, len(order), 4096):
             part = order[at : at + 4096]
             for p, e in zip(part, self.library.encode_batch_fast([self.spelled(p) for p in part], add_special_tokens=False), strict=True):
                 self[p] = array("I", e.ids).tobytes()
         return cut
 
+    def learn_plain(self, words: list[str]) -> list[str]:
+        """Encodes words of lower-case Latin letters by the library's model itself; returns the others.
+
+        The normalizer leaves such a word as it is and the pre-tokenizer takes it whole, so only the
+        bytes' spelling and the merges are left to do.
+        """
+        others = []
+        tokenize = self.library.model.tokenize
+        for w in words:
+            if w.isascii() and w.isalpha() and w.islower():
+                spelled = w
+            elif w.isalpha() and max(w) < "\u0250" and w == w.lower():
+                spelled = w.encode().decode("latin-1").translate(_BYTES)
+            else:
+                others.append(w)
+                continue
+            self[w] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+        return others
+
     def encode(self, text: str, pieces: list[str] | None) -> bytes:
         if pieces is None:
             return self.whole(text)
