@@ -148,3 +148,38 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
 
 def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _sql() -> str:
+    """The same in DuckDB SQL, for documents with distinct ids."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = [(t, label, template_words(text)) for t, (label, text) in enumerate(TEMPLATES)]
+    grams = ", ".join(f"({t}, {j}, '{w[j]}', '{w[j + 1]}', '{w[j + 2]}')" for t, _, w in words for j in range(len(w) - K + 1))
+    known = ", ".join(f"({t}, '{label}', {len(w)})" for t, label, w in words)
+    phrase = "".join(f" WHEN {' AND '.join(f'{c} = {chr(39)}{w}{chr(39)}' for c, w in zip('abc', p.split(' '), strict=False))} THEN '{label}'" for p, label in PHRASES.items())
+    return f"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+places AS (SELECT doc_id, i - 1 AS i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM split)),
+bases AS (SELECT * FROM (SELECT doc_id, i, CASE{phrase} END AS label FROM places) WHERE label IS NOT NULL),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM bases GROUP BY doc_id),
+grams(t, j, x, y, z) AS (VALUES {grams}),
+known(t, label, len) AS (VALUES {known}),
+diagonals AS (
+  SELECT doc_id, t, label, len, i - j AS d, list(j) AS js, min(i) AS lo
+  FROM places JOIN grams ON a = x AND b = y AND c = z JOIN known USING (t) GROUP BY ALL),
+steps AS (
+  SELECT *, coalesce(d - lag(d) OVER w > 3 OR lo - lag(lo) OVER w > len + 3, true)::INT AS fresh FROM diagonals WINDOW w AS (PARTITION BY doc_id, t ORDER BY d, lo)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY d, lo) AS run FROM steps),
+covered AS (SELECT doc_id, t, label, len, run, count(DISTINCT j + k) AS n FROM (SELECT doc_id, t, label, len, run, unnest(js) AS j FROM runs), range({K}) AS r(k) GROUP BY ALL),
+spans AS (SELECT doc_id, label, round(n / len, 6) AS cover FROM covered WHERE round(n / len, 6) >= 0.8),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM bases UNION ALL SELECT doc_id, label FROM spans) GROUP BY doc_id),
+base_labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM bases GROUP BY doc_id),
+best AS (SELECT doc_id, max(cover) AS cover FROM spans GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN base_labels IS NOT NULL THEN 1.0 ELSE coalesce(cover, 0) END::DOUBLE AS score
+FROM split LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN base_labels USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+OP8_SQL = _sql()
