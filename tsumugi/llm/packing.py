@@ -16,7 +16,7 @@ from .common import bounded_batches, table, written
 from .tokens import encoded
 
 #: Rows of one length ranked by one task; more lengths or rows only make more tasks.
-RANKED = 50_000
+RANKED = 5_000
 
 
 def piece_table(docs: DataFrame, tokenizer: str, text: str, doc_id: str, limit: int, with_ids: bool) -> DataFrame:
