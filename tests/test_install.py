@@ -87,3 +87,10 @@ def test_json_in_archive(tmp_path):
 def test_codes():
     kinds = [errors.DataNotFound, errors.DataVersionMismatch, errors.DataCorrupted, errors.InvalidQuery, errors.StorageError, errors.DeserializationError, errors.CacheDirRequired, errors.NetworkError, errors.CacheDirAlreadySet]
     assert [k.code for k in kinds] == list(range(1, 10))
+
+
+def test_versions(capsys):
+    from tsumugi.__main__ import main
+
+    main(["versions"])
+    assert "format 4" in capsys.readouterr().out
