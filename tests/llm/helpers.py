@@ -4,7 +4,7 @@ import random
 import re
 import zlib
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, n_words string, score string, label string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, n_words string, score string, label string, digest string"
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -73,7 +73,7 @@ def rows(seed=3):
 
 
 def frame(spark, data=None, parts=5):
-    data = rows() if data is None else data
+    data = [(*r, "d") for r in (rows() if data is None else data)]
     return spark.createDataFrame(data, SCHEMA).repartition(parts)
 
 

@@ -210,10 +210,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), b.column(0), pa.array(n, pa.int64())], names=["tokenizer", "digest", "n_tokens"])
 
     distinct.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("_tokens"))
+    counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy(F.col("digest").alias("_cached")).agg(F.max("n_tokens").alias("_tokens"))
     kept = [c for c in docs.columns if c != text]
     sized = rows.select(*kept, F.octet_length("_text").cast("long").alias("_bytes"), "_digest")
-    return sized.join(counts, F.col("_digest") == F.col("digest")).drop("digest")
+    return sized.join(counts, F.col("_digest") == F.col("_cached")).drop("_cached")
 
 
 def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
