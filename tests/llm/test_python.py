@@ -395,6 +395,46 @@ def test_exchange_reaches_a_local_optimum():
             assert likelihood(l, r, n, moved, 3) <= best + 1e-6
 
 
+def test_exchange_of_many_words_moves_each_to_its_best_class():
+    """Against the likelihood, recounted for every word and class."""
+    rng = np.random.default_rng(6)
+    text = rng.integers(0, 30, 700) * rng.integers(0, 2, 700)  # many followed by themselves
+    before, n = np.roll(text, 1), np.ones(len(text))
+    cls = rng.integers(0, 4, 30)
+    table = np.zeros((4, 4))
+    np.add.at(table, (cls[before], cls[text]), 1)
+    cells = Counter()
+    for a, b in zip(before.tolist(), text.tolist(), strict=True):
+        if a == b:
+            cells[a, 8] += 1
+        else:
+            cells[a, int(cls[b])] += 1
+            cells[b, 4 + int(cls[a])] += 1
+    row, code = np.array(sorted(cells)).T
+    got = brown.exchange_all(table, cls, row, code, np.array([float(cells[k]) for k in sorted(cells)]))
+    for w in range(30):
+        gains = []
+        for c in range(4):
+            moved = cls.copy()
+            moved[w] = c
+            gains.append(likelihood(before, text, n, moved, 4))
+        assert gains[got[w]] == pytest.approx(max(gains), abs=1e-6)
+    assert (got != cls).any()
+
+
+@pytest.mark.parametrize("local", [100_000, 5])
+def test_words_outside_the_core_get_classes_of_their_own(spark, local):
+    """Two kinds of words alternate; but for one of each they are too rare for the core, and have the same ending: only their classes tell the order."""
+    rng = random.Random(7)
+    one, two = ["p"] * 15 + [f"a{k}xyz" for k in range(15)], ["q"] * 15 + [f"b{k}xyz" for k in range(15)]
+    texts = [" ".join(w for _ in range(10) for w in ("go", rng.choice(one), rng.choice(two), "on")) for _ in range(60)]
+    data = [(k, t, False) for k, t in enumerate(texts)] + [(100, "go a1xyz b1xyz on", True), (101, "go b1xyz a1xyz on", True)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, held boolean")
+    rows = brown.score_texts(df, "held", size=brown.Size(clustered=5, endings=4, classes=6, local=local)).collect()
+    score = {r["doc_id"]: r["score"] for r in rows}
+    assert score[100] > score[101] + 1
+
+
 def test_brown_edge_tables(spark):
     from pyspark.sql import functions as F
 
