@@ -144,6 +144,22 @@ def drawn(*parts):
     return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
 
+@pytest.mark.parametrize("rate, rare", [(700, 20), (740, 20), (800, 20), (100_000, 2)])
+def test_mixing_at_high_rates(spark, tmp_path, rate, rare):
+    """Against the Poisson quantile from log-gamma terms."""
+    spark.range(2 * rate * rare).selectExpr("id as doc_id", f"if(id < {rare}, 'rare', 'hot') as source").write.parquet(f"{tmp_path}/docs")
+    got = Counter(r["doc_id"] for r in mixing.mix(spark.read.parquet(f"{tmp_path}/docs")).filter("source = 'rare'").select("doc_id").collect())
+
+    def quantile(u):
+        s = 0.0
+        for k in range(max(0, int(rate - 15 * math.sqrt(rate))), int(rate + 15 * math.sqrt(rate))):
+            s += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            if s > u:
+                return k
+
+    assert got == {d: quantile(drawn(17, d)) for d in range(rare)}
+
+
 @pytest.mark.parametrize("weights", [None, {"hot": 1.0, "a": 3.0}])
 def test_mixing(spark, weights):
     data = H.rows()

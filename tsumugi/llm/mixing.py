@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Up to so many sources, their rates (some 300 bytes each) are broadcast; beyond, they are joined by shuffle.
+#: Up to so many sources (some 300 bytes each) and distribution function entries, the rates are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 20_000
+BROADCAST_ENTRIES = 2_000_000
 #: Bits of the hash that make the uniform number; exact in a double.
 UNIFORM_BITS = 52
 
@@ -20,12 +21,14 @@ def uniform(*parts: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, source: str, weights: dict | None) -> DataFrame:
-    """_source, _rate and _cdf of each source.
+    """_source, _rate, _low and _cdf of each source.
 
     _rate is the mean number of copies that brings the source's documents to its share of the
     input's size. weights: share by source, normalised over the sources present; a source not
     named gets none. None: equal shares. Null is a source of its own.
-    _cdf holds the Poisson distribution function at 0, 1, ..., until nothing is left in a double.
+    _cdf holds the Poisson distribution function at _low, _low + 1, ..., where a double can tell it from 0 and 1.
+    Its terms are summed up as logarithms of their ratios and scaled by the largest, as exp(-_rate) is 0
+    for rates of some hundreds.
     """
     counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_n"))
     weight = F.lit(1.0)
@@ -36,9 +39,17 @@ def source_rates(docs: DataFrame, source: str, weights: dict | None) -> DataFram
     total = counts.select(F.sum("_n").alias("_all"), F.sum(weight).alias("_weights"))
     rate = F.col("_all") * (weight / F.col("_weights")) / F.col("_n")
     rated = counts.join(F.broadcast(total)).withColumn("_rate", F.coalesce(rate, F.lit(0.0)))  # total is one row
-    terms = "transform(sequence(0, cast(ceil(_rate + 12 * sqrt(_rate) + 24) as int)), k -> k)"
-    cdf = f"aggregate({terms}, named_struct('p', exp(-_rate), 's', 0D, 'c', cast(array() as array<double>)), (a, k) -> named_struct('p', a.p * _rate / (k + 1), 's', a.s + a.p, 'c', array_append(a.c, a.s + a.p)), a -> a.c)"
-    return rated.select("_source", "_rate", F.expr(cdf).alias("_cdf"))
+    spread = "(12 * sqrt(_rate) + 24)"
+    rated = rated.withColumn("_low", F.expr(f"cast(greatest(0, floor(_rate - {spread})) as bigint)"))
+    terms = rated.select("_source", "_rate", "_low", F.explode(F.expr(f"sequence(_low, cast(ceil(_rate + {spread}) as bigint))")).alias("_k"))
+    own = Window.partitionBy("_source")
+    up = own.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ratio = F.when(F.col("_k") == F.col("_low"), 0.0).when(F.col("_rate") > 0, F.log(F.col("_rate") / F.col("_k"))).otherwise(float("-inf"))
+    terms = terms.withColumn("_log", F.sum(ratio).over(up))
+    terms = terms.withColumn("_p", F.exp(F.col("_log") - F.max("_log").over(own)))
+    terms = terms.withColumn("_c", F.sum("_p").over(up) / F.sum("_p").over(own))
+    cdf = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_c"))), lambda x: x["_c"])
+    return terms.groupBy("_source", "_rate", "_low").agg(cdf.alias("_cdf"))
 
 
 def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights: dict | None = None, seed: int = 17) -> DataFrame:
@@ -49,16 +60,17 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights
     repeat an id draw the same number; null ids draw as the text 'null'. Null sources are one
     source. Empty tables give empty tables; other columns pass through.
 
-    The rates (a row per source) are broadcast up to BROADCAST_SOURCES, so a hot source moves
+    The rates (a row per source) are broadcast up to BROADCAST_SOURCES and BROADCAST_ENTRIES, so a hot source moves
     nowhere before the shuffle; more are joined by shuffle, where AQE splits hot keys. The copies are range-partitioned by a hash of seed, id and copy number.
     """
     rates = written(source_rates(docs, source, weights), "rates")
-    if rates.count() <= BROADCAST_SOURCES:
+    sources, entries = rates.agg(F.count("*"), F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()
+    if sources <= BROADCAST_SOURCES and entries <= BROADCAST_ENTRIES:
         rates = F.broadcast(rates)
     rows = docs.join(rates, docs[source].eqNullSafe(rates["_source"]))
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     rows = rows.withColumn("_u", uniform(F.lit(str(seed)), key))
-    rows = rows.withColumn("_copies", F.expr("size(filter(_cdf, c -> c <= _u))").cast("long"))
+    rows = rows.withColumn("_copies", F.col("_low") + F.expr("size(filter(_cdf, c -> c <= _u))"))
     rows = rows.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
     rows = rows.withColumn("_order", uniform(F.lit(str(seed)), key, F.col("_copy").cast("string")))
     return rows.select(*docs.columns, "_rate", "_copies", "_copy", "_order").repartitionByRange("_order").sortWithinPartitions("_order")
