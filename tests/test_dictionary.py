@@ -1,5 +1,5 @@
 import pytest
-from conftest import WORDS
+from dictionary_words import WORDS
 
 from tsumugi import errors
 from tsumugi.schema import FORMAT_VERSION, MatchMode, QueryOptions, Xref
