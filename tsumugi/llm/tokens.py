@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_path, table
 
-#: Words whose ids a Python worker remembers; it starts anew beyond. Speed only.
+#: Pieces whose ids a Python worker remembers; it starts anew beyond. Speed only.
 REMEMBERED = 700_000
 #: A space or line break with white space beside it or at an end of the text: there a cut could change tokens.
 _UNEVEN = re.compile(r"(?:^|\s)[ \n]|[ \n](?:\s|$)")
-_POINTS = re.compile(r"([^\W\d_])([.,;:!?]+)(?=[ \n]|$)")
-_TAIL = ".,;:!?"
+#: Signs that may follow a word without a merge reaching across.
+_TAIL = ".,;:!?$%&*#"
 _WORKERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -39,13 +39,14 @@ class PieceEncoder(dict):
 
     The concatenation is what the library gives for the whole text, by the kind of pre-tokenizer:
 
-    - Word BPE drops white space and lowers case. Texts are cut at spaces and line breaks, and
-      between a letter and the points after it; A to Z are lowered first. Special strings count by
-      case, so texts with "<|" go to the library whole.
+    - Word BPE drops white space and lowers case. Texts are cut at spaces and line breaks; A to Z are lowered
+      first. Special strings count by case, so texts with "<|" go to the library whole.
     - Byte level: a single space or line break between other characters opens a pre-token, and no
       merge reaches across. Texts are cut before it; texts with other spaces go to the library whole.
-      A piece that ends in a letter and points is its word, which is remembered, and the points.
     - Any other tokenizer: all texts go to the library whole.
+
+    A piece that ends in a letter and signs of _TAIL is its word and the signs, as both pre-tokenizers
+    part letters and signs.
     """
 
     def __init__(self, path: str):
@@ -56,91 +57,66 @@ class PieceEncoder(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.tokenize = self.library.model.tokenize
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         normalizers = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", ())]
         splits = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [told.get("pre_tokenizer") or {}]
         self.words = normalizers[-1:] == ["Lowercase"] and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
-        self.bytes = told.get("normalizer") is None and splits[0].get("type") == "ByteLevel" and not splits[0].get("add_prefix_space")
+        self.bytes = told.get("normalizer") is None and splits[0].get("type") == "ByteLevel" and not splits[0].get("add_prefix_space") and splits[0].get("use_regex", True)
         self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    @staticmethod
-    def spelled(word: str) -> str:
-        """A piece as it stands in its text: after a space unless after a line break."""
-        return word if word[:1] == "\n" else " " + word
-
     def cut(self, text: str) -> list[str] | None:
         """The pieces of a text, the first one empty or without a space before it; None: to be encoded whole."""
         if self.words and "<|" not in text:
-            lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes: A to Z only
-            return ["", *_POINTS.sub(r"\1 \2", lowered).replace("\n", " ").split(" ")]
+            lowered = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes: A to Z only
+            return ["", *lowered.replace("\n", " ").split(" ")]
         if self.bytes and not _UNEVEN.search(text):
             return text.replace("\n", " \n").split(" ")
         return None
 
-    def plain(self, piece: str) -> str:
-        """The word to remember: the piece less its points, at the byte level."""
-        word = piece.rstrip(_TAIL) if self.bytes else piece
-        return word if word and word[-1].isalpha() else piece
-
     def __missing__(self, piece: str) -> bytes:
-        word = self.plain(piece)
-        ids = self.get(word)
+        word = piece.rstrip(_TAIL)
+        if len(word) < len(piece) and word and word[-1].isalpha():
+            ids = self[word] + self.tail(piece[len(word) :])
+        elif (letters := self.plain(piece)) is not None:
+            ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        else:  # after a space, unless after a line break
+            ids = self.whole(piece if piece[:1] == "\n" else " " + piece)
+        self[piece] = ids
+        return ids
+
+    def tail(self, signs: str) -> bytes:
+        ids = self.tails.get(signs)
         if ids is None:
-            ids = self[word] = self.whole(self.spelled(word))
-        tail = piece[len(word) :]
-        if not tail:
-            return ids
-        if tail not in self.tails:
             if len(self.tails) > 10_000:
                 self.tails.clear()
-            self.tails[tail] = self.whole(tail)
-        return ids + self.tails[tail]
-
-    def learn(self, texts: list[str]) -> list[list[str] | None]:
-        """The pieces of each text; all words not yet known are encoded in a few calls."""
-        cut = [self.cut(t) for t in texts]
-        pieces: set[str] = set()
-        for c in cut:
-            if c:
-                pieces.update(c[1:])
-        order = list({self.plain(p) for p in pieces.difference(self)}.difference(self))
-        if len(self) + len(order) > REMEMBERED:
-            self.clear()
-            order = list({self.plain(p) for p in pieces})
-        if self.words:
-            order = self.learn_plain(order)
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast([self.spelled(p) for p in part], add_special_tokens=False), strict=True):
-                self[p] = array("I", e.ids).tobytes()
-        return cut
-
-    def learn_plain(self, words: list[str]) -> list[str]:
-        """Encodes words of lower-case Latin letters by the library's model itself; returns the others.
-
-        The normalizer leaves such a word as it is and the pre-tokenizer takes it whole, so only the
-        bytes' spelling and the merges are left to do.
+            ids = self.tails[signs] = self.whole(signs)
+        return ids
+
+    def plain(self, word: str) -> str | None:
+        """A word of Latin letters as the library's model takes it; None: any other piece.
+
+        The normalizer leaves such a word as it is and the pre-tokenizer takes it whole (at the byte level with the
+        space before it), so only the bytes' spelling and the merges are left to do.
         """
-        others = []
-        tokenize = self.library.model.tokenize
-        for w in words:
-            if w.isascii() and w.isalpha() and w.islower():
-                spelled = w
-            elif w.isalpha() and max(w) < "\u0250" and w == w.lower():
-                spelled = w.encode().decode("latin-1").translate(_BYTES)
-            else:
-                others.append(w)
-                continue
-            self[w] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
-        return others
-
-    def encode(self, text: str, pieces: list[str] | None) -> bytes:
+        if not word.isalpha() or not (self.bytes or word == word.lower()):
+            return None
+        if not word.isascii():
+            if max(word) >= "\u0250":
+                return None
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return _BYTES[32] + word if self.bytes else word
+
+    def encode(self, text: str) -> bytes:
+        pieces = self.cut(text)
         if pieces is None:
             return self.whole(text)
+        if len(self) > REMEMBERED:
+            self.clear()
         return (self.whole(pieces[0]) if pieces[0] else b"") + b"".join(map(self.__getitem__, pieces[1:]))
 
 
@@ -152,18 +128,8 @@ def worker_encoder(path: str) -> PieceEncoder:
 
 
 def encoded(texts: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each text as uint32 bytes, in order; a few megabytes of text at a time."""
-    encoder = worker_encoder(path)
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and size < 4_000_000:
-            size += len(texts[end])
-            end += 1
-        part = texts[at:end]
-        for text, pieces in zip(part, encoder.learn(part), strict=True):
-            yield encoder.encode(text, pieces)
-        at = end
+    """Ids of each text as uint32 bytes, in order, one text at a time."""
+    return map(worker_encoder(path).encode, texts)
 
 
 def file_digest(path: str) -> str:
