@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_names, nested, table, written
 
 #: Up to so many sources (some 300 bytes each) and distribution function entries, the rates are broadcast; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -25,7 +25,7 @@ def source_rates(docs: DataFrame, source: str, weights: dict | None) -> DataFram
 
     _rate is the mean number of copies that brings the source's documents to its share of the
     input's size. weights: share by source, normalised over the sources present; a source not
-    named gets none. None: equal shares. Null is a source of its own.
+    named gets none, and so do all where none that is present has a weight. None: equal shares. Null is a source of its own.
     _cdf holds the Poisson distribution function at _low, _low + 1, ..., where a double can tell it from 0 and 1.
     Its terms are summed up as logarithms of their ratios and scaled by the largest, as exp(-_rate) is 0
     for rates of some hundreds.
@@ -37,7 +37,7 @@ def source_rates(docs: DataFrame, source: str, weights: dict | None) -> DataFram
         for k, v in weights.items():
             weight = F.when(F.col("_source").eqNullSafe(F.lit(k)), float(v)).otherwise(weight)
     total = counts.select(F.sum("_n").alias("_all"), F.sum(weight).alias("_weights"))
-    rate = F.col("_all") * (weight / F.col("_weights")) / F.col("_n")
+    rate = F.try_divide(F.col("_all") * F.try_divide(weight, F.col("_weights")), F.col("_n"))
     rated = counts.join(F.broadcast(total)).withColumn("_rate", F.coalesce(rate, F.lit(0.0)))  # total is one row
     spread = "(12 * sqrt(_rate) + 24)"
     rated = rated.withColumn("_low", F.expr(f"cast(greatest(0, floor(_rate - {spread})) as bigint)"))
@@ -55,28 +55,35 @@ def source_rates(docs: DataFrame, source: str, weights: dict | None) -> DataFram
 def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", weights: dict | None = None, seed: int = 17) -> DataFrame:
     """docs with each row repeated as often as its hash-seeded Poisson number says, shuffled globally.
 
-    Adds _rate, _copies (the row's number), _copy (0, 1, ...) and _order (the shuffle key). The
-    number depends on seed and id alone: a rerun or a lost executor gives the same copies. Rows that
-    repeat an id draw the same number; null ids draw as the text 'null'. Null sources are one
-    source. Empty tables give empty tables; other columns pass through.
+    Adds _rate, _copies (the row's number), _copy (0, 1, ...) and _order (the shuffle key); where docs has a column
+    of such a name, the added one has an underscore more. The number depends on seed and id alone: a rerun or a
+    lost executor gives the same copies. Rows that repeat an id draw the same number. A row without an id draws by
+    a hash of all its columns, so such rows draw each for themselves unless they are equal. Null sources are one
+    source. Sources without weight, and all sources if no source present has any, get no copies. Empty tables give empty tables.
 
     The rates (a row per source) are broadcast up to BROADCAST_SOURCES and BROADCAST_ENTRIES, so a hot source moves
-    nowhere before the shuffle; more are joined by shuffle, where AQE splits hot keys. The copies are range-partitioned by a hash of seed, id and copy number.
+    nowhere before the shuffle; more are joined by shuffle, where AQE splits hot keys. The copies go to
+    equal ranges of _order, a hash of seed, id and copy number, and are sorted there; as the hash is
+    uniform, the ranges are known without a look at the rows.
     """
+    spark, added = docs.sparkSession, free_names(docs, "_rate", "_copies", "_copy", "_order")
     rates = written(source_rates(docs, source, weights), "rates")
     sources, entries = rates.agg(F.count("*"), F.coalesce(F.sum(F.size("_cdf")), F.lit(0))).first()
     if sources <= BROADCAST_SOURCES and entries <= BROADCAST_ENTRIES:
         rates = F.broadcast(rates)
-    rows = docs.join(rates, docs[source].eqNullSafe(rates["_source"]))
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    rows = rows.withColumn("_u", uniform(F.lit(str(seed)), key))
+    rows = docs.select(nested(docs)).join(rates, F.col(f"_row.`{source}`").eqNullSafe(F.col("_source")))
+    rows = rows.withColumn("_key", F.coalesce(F.col(f"_row.`{doc_id}`").cast("string"), F.concat(F.lit("null:"), F.xxhash64("_row").cast("string"))))
+    rows = rows.withColumn("_u", uniform(F.lit(str(seed)), F.col("_key")))
     rows = rows.withColumn("_copies", F.col("_low") + F.expr("size(filter(_cdf, c -> c <= _u))"))
     rows = rows.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    rows = rows.withColumn("_order", uniform(F.lit(str(seed)), key, F.col("_copy").cast("string")))
-    return rows.select(*docs.columns, "_rate", "_copies", "_copy", "_order").repartitionByRange("_order").sortWithinPartitions("_order")
+    rows = rows.withColumn("_order", uniform(F.lit(str(seed)), F.col("_key"), F.col("_copy").cast("string")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("_row", "_rate", "_copies", "_copy", "_order").repartitionById(parts, F.floor(F.col("_order") * parts).cast("int"))
+    return rows.sortWithinPartitions("_order").select("_row.*", *[F.col(a).alias(b) for a, b in zip(("_rate", "_copies", "_copy", "_order"), added, strict=True)])
 
 
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All copies of all documents by mix(), equal shares; nulls, ties, repeated rows and empty tables as said there."""
     df = mix(table(spark, sf_dir, "documents"))
     return df.select("doc_id", "text", "lang", "source", "n_chars", F.col("_copies").alias("copies"), F.col("_copy").alias("copy"), F.round("_rate", 9).alias("rate"), F.col("_order").alias("shuffle_key"))
 
