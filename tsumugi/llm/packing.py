@@ -17,6 +17,8 @@ from .tokens import encoded
 
 #: Rows of one length ranked by one task; more lengths or rows only make more tasks.
 RANKED = 5_000
+#: Tasks that number the copies of one piece.
+DEALS = 64
 
 
 def piece_table(docs: DataFrame, tokenizer: str, text: str, doc_id: str, limit: int, with_ids: bool) -> DataFrame:
@@ -173,18 +175,24 @@ def slots(plans: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 
 
 def ranked(pieces: DataFrame) -> DataFrame:
-    """pieces with _rank: 0, 1, ... within each length, the same however often it is computed.
+    """pieces with _rank: 0, 1, ... within each length; pieces must be a written table, with a unique _serial.
 
-    A length may be that of a third of all rows: its rows are dealt by hash into groups of about
-    RANKED, each ranked by itself, and the groups' sizes are summed up.
+    Neighbouring ranks share a sequence where a pattern has a length more than once, so copies (equal
+    _id, _piece, _crc) must not be neighbours. Each copy gets a level of its own; ranks go level by
+    level, and within a level by a hash. A length, or the copies of one piece, may be a third of all
+    rows: rows are dealt by hash into groups of about RANKED, copies into DEALS, each numbered by itself.
     """
     total = pieces.count()
-    deal = max(1, -(-total // RANKED))
-    rows = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "_piece", "_crc"), F.lit(deal)))
-    sizes = rows.groupBy("_length", "_group").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_length").orderBy("_group")) - F.col("_n")).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_length", "_group").orderBy("_id", "_piece", "_crc"))
-    return rows.withColumn("_own", own).join(before, ["_length", "_group"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1).drop("_own", "_before", "_group")
+    deal = max(1, -(-total // (RANKED * DEALS)))
+    hashed = F.xxhash64("_id", "_piece", "_crc", "_serial", F.lit(9))
+    rows = pieces.withColumn("_salt", F.pmod(F.xxhash64("_serial"), F.lit(DEALS)))
+    twin = F.row_number().over(Window.partitionBy("_id", "_piece", "_crc", "_salt").orderBy("_serial"))
+    rows = rows.withColumn("_level", (twin - 1) * DEALS + F.col("_salt")).withColumn("_h", hashed).withColumn("_group", F.pmod("_h", F.lit(deal)))
+    sizes = rows.groupBy("_length", "_level", "_group").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_length").orderBy("_level", "_group")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_length", "_level", "_group").orderBy("_h", "_serial"))
+    out = rows.withColumn("_own", own).join(before, ["_length", "_level", "_group"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
+    return out.select(*pieces.columns, "_rank")
 
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -194,13 +202,15 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text",
     written. Only the histogram of lengths (limit rows at most) goes to the driver, where
     pack_histogram() plans sequences as (pattern, repeats). A piece finds its place by its rank among
     the pieces of its length, in a broadcast table of the plans' slots; that table has a few rows for
-    each pattern, at most some ten thousand for 2048 tokens.
+    each pattern, at most some ten thousand for 2048 tokens. Copies of a document are ranked apart, so that they
+    meet in a sequence only where a length has too few other documents.
 
     Null and empty texts are the single id 0. Null ids are packed like others; rows that repeat an id
-    are packed one by one. An empty table gives an empty table; other columns are not read.
+    are packed one by one. An empty table gives an empty table; other columns are not read. A long text is encoded
+    whole and by itself.
     """
     spark = docs.sparkSession
-    pieces = written(piece_table(docs, tokenizer, text, doc_id, limit, with_ids), "pieces")
+    pieces = written(piece_table(docs, tokenizer, text, doc_id, limit, with_ids).withColumn("_serial", F.monotonically_increasing_id()), "pieces")
     histogram = {r["_length"]: r["count"] for r in pieces.groupBy("_length").count().collect()}
     rows = [(a, lo, lo + n, k, base, offset) for a, lo, n, k, base, offset in slots(pack_histogram(histogram, limit))]
     places = spark.createDataFrame(rows, "_l bigint, _lo bigint, _hi bigint, _k bigint, _base bigint, _at bigint")
@@ -211,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text",
     q = F.col("_rank") - F.col("_slot._lo")
     out = out.withColumn("_sequence", F.col("_slot._base") + F.floor(q / F.col("_slot._k")))
     out = out.withColumn("_offset", F.col("_slot._at") + (q % F.col("_slot._k")) * F.col("_length"))
-    return out.select(*pieces.columns, "_sequence", "_offset")
+    return out.drop("_serial").select(*[c for c in pieces.columns if c != "_serial"], "_sequence", "_offset")
 
 
 def packed_columns(df: DataFrame) -> DataFrame:
@@ -219,6 +229,7 @@ def packed_columns(df: DataFrame) -> DataFrame:
 
 
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces by pack(); nulls, empty and long texts, ties, repeated rows and empty tables as said there."""
     import public_tokenizers
 
     return packed_columns(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
