@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, table, words_of, written
+from .common import WORD_GAP, free_names, nested, table, words_of, written
 
 
 @dataclass(frozen=True)
@@ -37,17 +37,17 @@ def _kept_chars(text: Column, drop: str) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the MEASURES as long columns named ``_q_<measure>``.
+    """docs with the MEASURES as long columns named ``_q_<measure>`` (docs has no columns of such names).
 
     Null and empty texts measure zero throughout. All of it is built-in expressions: three-word
-    windows are hashed in place, and only texts in which a hash occurs twice sort their windows
-    to find the positions.
+    windows are hashed in place, and only texts in which a hash occurs twice sort their windows, by hash and
+    words, to find the positions; windows are the same if their words are.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_q_t", t).withColumn("_q_w", words_of(F.col("_q_t")))
     df = df.withColumn("_q_h", F.expr("case when size(_q_w) >= 3 then transform(slice(_q_w, 1, size(_q_w) - 2), (w, i) -> xxhash64(w, get(_q_w, i + 1), get(_q_w, i + 2))) else cast(array() as array<bigint>) end"))
-    df = df.withColumn("_q_s", F.expr("case when size(array_distinct(_q_h)) < size(_q_h) then sort_array(transform(_q_h, (h, i) -> named_struct('h', h, 'p', i))) else cast(array() as array<struct<h:bigint,p:int>>) end"))
-    df = df.withColumn("_q_p", F.expr("sort_array(transform(filter(_q_s, (e, k) -> e.h = get(_q_s, k - 1).h or e.h = get(_q_s, k + 1).h), e -> e.p))"))
+    df = df.withColumn("_q_s", F.expr("case when size(array_distinct(_q_h)) < size(_q_h) then sort_array(transform(_q_h, (h, i) -> named_struct('h', h, 'w', array(_q_w[i], _q_w[i + 1], _q_w[i + 2]), 'p', i))) else cast(array() as array<struct<h:bigint,w:array<string>,p:int>>) end"))
+    df = df.withColumn("_q_p", F.expr("sort_array(transform(filter(_q_s, (e, k) -> (e.h = get(_q_s, k - 1).h and e.w = get(_q_s, k - 1).w) or (e.h = get(_q_s, k + 1).h and e.w = get(_q_s, k + 1).w)), e -> e.p))"))
     df = df.withColumn("_q_l", F.filter(F.split("_q_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = {
         "n_words": F.size("_q_w"),
@@ -139,33 +139,42 @@ def fit_votes(histogram: list[tuple[tuple[int, ...], int]], rounds: int = 300, s
     return model
 
 
-def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
-    """docs with ``_q_<measure>``, ``_q_votes`` (array of -1, 0, 1), ``_q_posterior`` and ``_q_kept``.
+def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep_text: bool = True, base_rule: bool = True) -> DataFrame:
+    """docs with ``_q_<measure>``, ``_q_votes`` (array of -1, 0, 1), ``_q_posterior``, ``_q_base_failed`` and ``_q_kept``.
 
     The texts are measured once and written to the shared folder; the vote histogram over all
     documents (at most 3 ** rules rows) goes to the driver, EM fits it, and the posterior is one
-    arithmetic expression. ``_q_kept`` is posterior >= threshold and not the base rule's failure
-    (under 50 words, or over half of the words in repeated three-word windows).
+    arithmetic expression. ``_q_kept`` is posterior >= threshold and a word or more, and with base_rule not the base rule's
+    failure (under 50 words, or over half of the words in repeated three-word windows) either.
     Null and empty texts: all votes abstain, base failed, not kept. An empty table gives an empty
-    table. Repeated rows are scored alike. Other columns pass through; keep_text=False drops the text.
+    table. Repeated rows are scored alike; long texts are measured whole. Other columns pass through, and where one has
+    the name of an added column, the added one has an underscore more; keep_text=False drops the text.
     """
-    df = measures(docs, text)
+    names = [*(f"_q_{m}" for m in MEASURES), "_q_votes", "_q_posterior", "_q_base_failed", "_q_kept"]
+    passing = docs if keep_text else docs.drop(text)
+    added = free_names(passing, *names)
+    df = docs.select(nested(passing), F.col(text).alias("_q_text"))
+    df = measures(df, "_q_text").drop("_q_text")
     df = df.withColumn("_q_votes", F.array(*[vote(r).cast("int") for r in rules]))
-    df = written(df if keep_text else df.drop(text), "quality")
+    df = written(df, "quality")
     counted = df.groupBy("_q_votes").count().collect()
     model = fit_votes([(tuple(r["_q_votes"]), r["count"]) for r in counted])
     votes = [F.get("_q_votes", F.lit(i)) for i in range(len(rules))]
     failed = (F.col("_q_n_words") < 50) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
     df = df.withColumn("_q_posterior", 1 / (1 + F.exp(-model.log_odds(votes)))).withColumn("_q_base_failed", failed)
-    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_posterior") >= threshold))
+    fit = (F.col("_q_n_words") > 0) & (F.col("_q_posterior") >= threshold)
+    df = df.withColumn("_q_kept", fit & ~F.col("_q_base_failed") if base_rule else fit)
+    return df.select("_row.*", *[F.col(a).alias(b) for a, b in zip(names, added, strict=True)])
 
 
-def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that score_quality keeps, with the columns they came with."""
-    return score_quality(docs, text).filter("_q_kept").select(*docs.columns)
+def keep_good(docs: DataFrame, text: str = "text", base_rule: bool = False) -> DataFrame:
+    """The documents that score_quality keeps, by the posterior alone unless base_rule, with the columns they came with."""
+    kept = free_names(docs, "_q_kept")[0]
+    return score_quality(docs, text, base_rule=base_rule).filter(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts by score_quality(); nulls, empty texts, repeated rows and empty tables as said there."""
     df = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     base = [F.col(f"_q_{m}").alias(m) for m in MEASURES[:5]]
     return df.select("doc_id", *base, F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_posterior").alias("posterior"))
