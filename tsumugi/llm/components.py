@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def component_labels(links: DataFrame) -> DataFrame:
@@ -25,20 +25,20 @@ def component_labels(links: DataFrame) -> DataFrame:
             nodes = edges.select(F.col("_b").alias("_node"), F.col("_a").alias("_label"))
             return nodes.unionByName(edges.select(F.col("_a").alias("_node"), F.col("_a").alias("_label"))).distinct()
         seen = tuple(state)
-        edges = written(_small_star(_large_star(edges)), "links")
+        edges = written(_small_star(written(_large_star(edges, state[0]), "links")), "links")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours go to the smallest of its neighbours and itself."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Each node's larger neighbours go to the smallest of its neighbours and itself. A hub's edges are spread."""
     both = edges.select(F.col("_a").alias("_u"), F.col("_b").alias("_v")).unionByName(edges.select(F.col("_b").alias("_u"), F.col("_a").alias("_v")))
-    least = both.groupBy("_u").agg(F.least(F.col("_u"), F.min("_v")).alias("_m"))
-    moved = both.join(least, "_u").filter(F.col("_v") > F.col("_u"))
+    least = written(both.groupBy("_u").agg(F.least(F.col("_u"), F.min("_v")).alias("_m"), F.count("*").alias("_n")), "least")
+    moved = spread_join(both.filter(F.col("_v") > F.col("_u")), least, "_u", "_n", 2 * n)
     return moved.select(F.col("_m").alias("_a"), F.col("_v").alias("_b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of them. Edges are (smaller _a, larger _b)."""
-    least = edges.groupBy(F.col("_b").alias("_u")).agg(F.min("_a").alias("_m"))
-    joined = edges.join(least, edges["_b"] == least["_u"])
+    least = written(edges.groupBy(F.col("_b")).agg(F.min("_a").alias("_m"), F.count("*").alias("_n")), "least")
+    joined = spread_join(edges, least, "_b", "_n")
     moved = joined.select(F.col("_m").alias("_x"), F.col("_a").alias("_y")).unionByName(joined.select(F.col("_m").alias("_x"), F.col("_b").alias("_y")))
     return moved.filter("_x <> _y").select(F.col("_x").alias("_a"), F.col("_y").alias("_b")).distinct()

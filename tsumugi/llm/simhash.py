@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, written
+from .common import bounded_batches, spread_join, table, written
 from .components import component_labels
 
 BYTES = 8
@@ -32,22 +32,26 @@ def covering_triples() -> list[tuple[int, ...]]:
     return out
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """64 majority bits over the XXH64 of all word shingles, repeats included; no words: 0."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> list[int]:
+    """XXH64 of all word shingles, repeats included; of the whole sequence if it is shorter; none without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     n = len(words) - shingle + 1
     if n < 1:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip((ends - lengths)[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, seed)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], seed) for a, b in zip((ends - lengths)[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """64 majority bits over the hashes of all word shingles, repeats included; no words: 0."""
+    hashes = shingle_hashes(text, shingle, seed)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = np.array(hashes[at : at + 65536], dtype=">u8")
@@ -135,13 +139,24 @@ def linked_blocks(dense: DataFrame, distance: int) -> DataFrame:
     return rows.groupBy("_key", "_i", "_j").applyInArrow(run, "_a bigint, _b bigint")
 
 
+def tallied(sparse: DataFrame, distance: int) -> DataFrame:
+    """_a < _b that meet under a key and share at least 8 - distance positional bytes: the count filter.
+
+    Three shared bytes bring a pair under a key; distance differing bits leave at least 8 - distance bytes alone, so
+    pairs that share fewer are retained no further.
+    """
+    a, b = sparse.select("_key", F.col("_fp").alias("_a")), sparse.select(F.col("_key").alias("_key2"), F.col("_fp").alias("_b"))
+    met = a.join(b, (F.col("_key") == F.col("_key2")) & (F.col("_a") < F.col("_b")))
+    return met.withColumn("_shared", shared_bytes(F.col("_a"), F.col("_b"))).filter(F.col("_shared") >= BYTES - distance).select("_a", "_b")
+
+
 def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """_a < _b or a spanning subset of them: distinct fingerprints at distance or fewer bits.
 
     distance bits touch at most distance of the eight bytes, so a pair shares at least 8 - distance
     positional bytes; four guaranteed matches meet under one of the twenty triple keys. Pairs under a
-    key are tallied in the join itself: they pass with enough shared bytes, and then only if the
-    bits agree. Keys with more than DENSE fingerprints never make pairs in Spark; linked_blocks()
+    key are tallied, and those retained by the count filter are verified by their bits. Keys with more
+    than DENSE fingerprints never make pairs in Spark; linked_blocks()
     compares them and keeps the links of a spanning forest, which connects the same fingerprints.
     """
     if not 0 <= distance <= 4:
@@ -149,11 +164,8 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     index = postings(fps)
     sizes = index.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
     shared = written(index.join(sizes, "_key"), "shared-keys")
-    sparse = shared.filter(F.col("_n") <= DENSE)
-    a, b = sparse.select("_key", F.col("_fp").alias("_a")), sparse.select(F.col("_key").alias("_key2"), F.col("_fp").alias("_b"))
-    tally = shared_bytes(F.col("_a"), F.col("_b")) >= BYTES - distance
     close = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= distance
-    pairs = a.join(b, (F.col("_key") == F.col("_key2")) & (F.col("_a") < F.col("_b")) & tally & close).select("_a", "_b")
+    pairs = tallied(shared.filter(F.col("_n") <= DENSE), distance).filter(close)
     dense = shared.filter(F.col("_n") > DENSE).select("_key", "_fp")
     return pairs.unionByName(linked_blocks(dense, distance)).distinct()
 
@@ -167,24 +179,15 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     not read. Copies collapse to one fingerprint before anything is compared.
     """
     rows = fingerprints(docs, text, doc_id, shingle)
-    nodes = written(rows.groupBy("_fp").agg(F.min("_id").alias("_first")), "nodes")
+    nodes = written(rows.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows")), "nodes")
     labels = component_labels(near_links(nodes.select("_fp"), distance))
-    joined = nodes.join(labels, nodes["_fp"] == labels["_node"], "left").withColumn("_root", F.coalesce("_label", "_fp"))
-    firsts = joined.groupBy("_root").agg(F.min("_first").alias("_component"))
-    member = joined.select("_fp", "_root").join(firsts, "_root").select("_fp", "_component")
-    return rows.join(written(member, "members"), "_fp").select("_id", "_fp", "_component")
-
-
-def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = 4) -> DataFrame:
-    """docs without the near copies: of each component the row with the smallest id stays.
-
-    Rows that repeat that id with texts of the same component all stay. Columns are as they came.
-    """
-    groups = near_groups(docs, text, doc_id, distance=distance)
-    stay = groups.filter(F.col("_id").eqNullSafe(F.col("_component"))).select(F.col("_id").alias("_stay")).distinct()
-    return docs.join(stay, docs[doc_id].eqNullSafe(stay["_stay"]), "left_semi")
+    joined = written(nodes.join(labels, nodes["_fp"] == labels["_node"], "left").withColumn("_root", F.coalesce("_label", "_fp")), "roots")
+    firsts = written(joined.groupBy("_root").agg(F.min("_first").alias("_component"), F.count("*").alias("_fps")), "components")
+    member = written(spread_join(joined.select("_fp", "_rows", "_root"), firsts, "_root", "_fps").select("_fp", "_rows", "_component"), "members")
+    return spread_join(rows, member, "_fp", "_rows").select("_id", "_fp", "_component")
 
 
 def op5_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's fingerprint and component by near_groups(); nulls, empty texts, ties, repeated rows and empty tables as said there."""
     df = near_groups(table(spark, sf_dir, "documents"))
     return df.select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_component").alias("component_id"))
