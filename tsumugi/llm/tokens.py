@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, table
+from .common import bounded_batches, free_names, new_path, spread_join, table, written
 
 #: Pieces whose ids a Python worker remembers; it starts anew beyond. Speed only.
 REMEMBERED = 700_000
@@ -137,49 +138,63 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-CACHE_SCHEMA = "tokenizer string, digest string, n_tokens bigint"
+CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
+#: Misses up to this number (32 bytes each) are broadcast, so that no other text moves.
+BROADCAST_MISSES = 200_000
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
-    """The cache's entries; none yet: an empty table. Appends of racing runs may repeat an entry; one counts."""
+    """The cache's entries; none yet: an empty table. Racing runs may both store an entry; one counts."""
     path = spark._jvm.org.apache.hadoop.fs.Path(cache)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(cache)
+    return spark.read.schema(CACHE_SCHEMA).option("recursiveFileLookup", True).parquet(cache)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text") -> DataFrame:
-    """docs' rows with _digest and _tokens, by the tokenizers file named; the text is dropped.
+    """docs' rows with _digest, _bytes and _tokens, by the tokenizers file named; the text is dropped.
 
     1. Each text is digested (sha256 of its UTF-8; nothing is normalised away, since any change
-       could change the count; null counts as empty). 2. The distinct digests without an entry
+       could change the count; null counts as empty) and the digests are counted. 2. Those without an entry
        under this tokenizer file's own digest are the misses. 3. One row for each miss carries its
-       text to the encoder, and the counts are appended to the cache, a Parquet folder that grows
-       from run to run. 4. The documents' digests are joined to the cache.
+       text to the encoder, and the counts are appended to the cache, a folder of Parquet tables, one of each run,
+       so that runs at the same time don't touch each other's files. 4. The documents' digests are joined to the cache.
 
-    Copies, however many, are one digest before anything is joined, and one encoding. Repeated rows
-    count alike; null ids and other columns pass through; an empty table gives an empty table.
+    Copies, however many, are one digest before anything is joined, and one encoding; a hot digest's rows are spread
+    (spread_join()). Repeated rows count alike; null ids and other columns pass through, and where one has the name of an added
+    column, the added one has an underscore more; an empty table gives an empty table. A long text is encoded by itself.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     version = file_digest(tokenizer)
-    rows = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = rows.withColumn("_digest", F.sha2("_text", 256))
-    stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    added = free_names(docs.select(*kept), "_digest", "_bytes", "_tokens")
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select((F.struct(*kept) if kept else F.lit(None)).alias("_row"), t.alias("_text"), F.unhex(F.sha2(t, 256)).alias("_digest"))
+    counted = written(rows.groupBy("_digest").agg(F.count("*").alias("_rows")), "digests")
+    stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).select("digest")
+    misses = written(counted.join(stored, F.col("_digest") == F.col("digest"), "left_anti").select("_digest"), "misses")
+    known, new = counted.count(), misses.count()
     # Rows of one digest have one text, so distinct() leaves one row a digest; it combines before the shuffle.
-    missing = rows.select("_digest", "_text").join(stored, F.col("_digest") == F.col("digest"), "left_anti")
-    distinct = missing.distinct()
+    if new == known:
+        distinct = rows.select("_digest", "_text").distinct()
+    elif new <= BROADCAST_MISSES:
+        distinct = rows.select("_digest", "_text").join(F.broadcast(misses), "_digest", "left_semi").distinct()
+    else:
+        distinct = rows.groupBy("_digest").agg(F.first("_text").alias("_text")).join(misses, "_digest", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [len(x) // 4 for x in encoded(b.column(1).to_pylist(), tokenizer)]
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), b.column(0), pa.array(n, pa.int64())], names=["tokenizer", "digest", "n_tokens"])
 
-    distinct.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy(F.col("digest").alias("_cached")).agg(F.max("n_tokens").alias("_tokens"))
-    kept = [c for c in docs.columns if c != text]
-    sized = rows.select(*kept, F.octet_length("_text").cast("long").alias("_bytes"), "_digest")
-    return sized.join(counts, F.col("_digest") == F.col("_cached")).drop("_cached")
+    distinct.select("_digest", "_text").mapInArrow(run, CACHE_SCHEMA).write.parquet(f"{cache}/{uuid.uuid4().hex}")
+    counts = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("_tokens"))
+    side = written(counted.join(counts, F.col("_digest") == F.col("digest")).drop("digest"), "token-counts")
+    sized = rows.select("_row", F.octet_length("_text").cast("long").alias("_bytes"), "_digest")
+    out = spread_join(sized, side, "_digest", "_rows")
+    values = zip(("_digest", "_bytes", "_tokens"), added, strict=True)
+    return out.select(*(["_row.*"] if kept else []), *[F.lower(F.hex(a)).alias(b) if a == "_digest" else F.col(a).alias(b) for a, b in values])
 
 
 def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
