@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, id_remainder, table
+from .common import bounded_batches, free_names, id_remainder, table
 
 #: Bounds of the training sample: rows with label 1 and with label 0.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
@@ -92,10 +92,10 @@ def hits(folded: str, automaton) -> tuple[float, int]:
     return sum(best.values()), len(best)
 
 
-def features(folded: str, automaton) -> tuple[float, float, float]:
-    """Weight per word, log of the weight, and log of the number of words if anything is hit."""
-    weight, n = hits(folded, automaton)
-    words = folded.count(" ") + 1 - folded.count("  ") if n else 1
+def features(folded: str, weight: float, n: int) -> tuple[float, float, float]:
+    """Weight per word, log of the weight, and log of the number of words if anything is hit. Words are runs of
+    letters, so that signs and spaces put in don't make a text longer."""
+    words = len(folded.split()) if n else 1
     return (100 * weight / max(5, words) if n else 0.0, math.log1p(weight), math.log1p(words) if n else 0.0)
 
 
@@ -174,7 +174,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, toxic: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = sent.value.automaton()
         for b in batches:
-            f = [features(fold(t), automaton) for t in b.column(0).to_pylist()]
+            folded = map(fold, b.column(0).to_pylist())
+            f = [features(t, *hits(t, automaton)) for t in folded]
             yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in f], pa.float64()) for k in range(3)), b.column(1)], names=["a", "b", "c", "y"])
 
     rows = sample.mapInArrow(run, "a double, b double, c double, y int").limit(2 * len(chosen)).collect()
@@ -188,11 +189,14 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
     """docs' columns but the text, with _score (0 to 1), _weight and _hits.
 
     Every whole text is folded and run through the automaton once. Null and empty texts score as texts
-    without a hit. Other columns pass through; repeated rows score alike; empty tables stay empty.
+    without a hit. Other columns pass through, and where one has the name of an added column, the added one has an
+    underscore more; repeated rows score alike; empty tables stay empty.
     """
     bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    added = free_names(kept, "_score", "_weight", "_hits")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias(free_names(kept, "_text")[0]))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,17 +205,18 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
             score, weight, n = [], [], []
             for t in b.column(len(keep)).to_pylist():
                 folded = fold(t)
-                score.append(score_of(features(folded, automaton), sent.value.coefficients))
                 w, k = hits(folded, automaton)
+                score.append(score_of(features(folded, w, k), sent.value.coefficients))
                 weight.append(w)
                 n.append(k)
             made = [pa.array(score, pa.float64()), pa.array(weight, pa.float64()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *made], names=[*keep, "_score", "_weight", "_hits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *made], names=[*keep, *added])
 
-    return rows.mapInArrow(run, docs.select(*keep).schema.add("_score", "double").add("_weight", "double").add("_hits", "long"))
+    return rows.mapInArrow(run, kept.schema.add(added[0], "double").add(added[1], "double").add(added[2], "long"))
 
 
 def op4_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by score_toxicity() with a lexicon learned from the rows not held out; nulls, empty texts, repeated rows and empty tables as said there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(id_remainder(F.col("doc_id"), 4) != 2)
     lexicon = learn(docs, labels, "text", "doc_id", "toxic", EXCEPTIONS)
