@@ -9,19 +9,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, id_remainder, table
+from .common import bounded_batches, by_size, free_names, id_remainder, table
 
 #: Buckets of hashed n-gram weights.
 BUCKETS = 1 << 17
 #: Longest n-gram, in UTF-8 bytes; with the blanks around a word, its affixes are among them.
 NGRAM = 4
 BLOCK = 128
-#: Bound of the training sample: documents of each language.
+#: Bounds of the training sample: documents and characters (beyond the first document) of each language, and languages, the most frequent ones.
 DOCS_PER_LANGUAGE = 150
+CHARS_PER_LANGUAGE = 2_000_000
+LANGUAGES = 256
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -198,16 +200,24 @@ def train(texts: list[tuple[list[str], str]], epochs: int = 40, rate: float = 0.
 def training_sample(docs: DataFrame, learn: str, text: str, label: str, doc_id: str, per_label: int = DOCS_PER_LANGUAGE) -> list[tuple[list[str], str]]:
     """Whole texts of at most per_label rows of each label among the rows where learn holds, chosen by hash of the id.
 
-    Only ids are ranked; then the few chosen texts are fetched.
+    One pass ranks ids and sizes (each task sends its first per_label rows of a label at most); a second fetches the
+    chosen texts, CHARS_PER_LANGUAGE of a label or one text. Of rows that repeat id and label the least text is taken.
     """
-    rows = docs.filter(F.col(learn) & F.col(label).isNotNull() & F.col(text).isNotNull())
-    out: list[tuple[list[str], str]] = []
-    for r in rows.select(F.col(label)).distinct().collect():
-        own = rows.filter(F.col(label) == r[0])
-        ids = [x[0] for x in own.select(doc_id, F.xxhash64(doc_id).alias("_h")).orderBy("_h", doc_id).limit(per_label).collect() if x[0] is not None]
-        chosen = own.filter(F.col(doc_id).isin(ids)).select(doc_id, text).limit(2 * per_label).collect()
-        out += [(words_in(x[1]), r[0]) for x in sorted(chosen, key=lambda x: x[0])[:per_label]]
-    return [x for x in out if x[0]]
+    rows = docs.filter(F.col(learn) & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
+    rows = rows.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"), F.col(text).cast("string").alias("_text"))
+    labels = [r[0] for r in rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(LANGUAGES).collect()]
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy("_h", "_id", "_size"))
+    sized = rows.filter(F.col("_label").isin(labels)).select("_id", "_label", F.char_length("_text").alias("_size"), F.xxhash64("_id").alias("_h"))
+    chosen, chars = [], Counter()
+    for r in sized.withColumn("_rank", rank).filter(F.col("_rank") <= per_label).orderBy("_label", "_rank").collect():
+        if not chars[r["_label"]] or chars[r["_label"]] + r["_size"] <= CHARS_PER_LANGUAGE:
+            chosen.append((r["_id"], r["_label"]))
+            chars[r["_label"]] += r["_size"]
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(sorted(set(chosen)), rows.select("_id", "_label").schema)
+    texts = rows.join(F.broadcast(wanted), ["_id", "_label"]).groupBy("_label", "_id").agg(F.min("_text").alias("_text")).orderBy("_label", "_id").collect()
+    return [x for x in ((words_in(r["_text"]), r["_label"]) for r in texts) if x[0]]
 
 
 def label_languages(docs: DataFrame, model: Crf, text: str = "text", with_words: bool = False) -> DataFrame:
@@ -215,37 +225,43 @@ def label_languages(docs: DataFrame, model: Crf, text: str = "text", with_words:
 
     _lang has the largest sum of word posteriors over the whole text, _score its share. Null texts and
     texts without a letter: 'und', score 0. Ties go to the first label in order. Without labels to
-    learn from, every text is 'und'. Other columns pass through; empty tables give empty tables.
+    learn from, every text is 'und'. Other columns pass through, and where one has the name of an added column, the
+    added one has an underscore more; repeated rows are labelled alike; empty tables give empty tables. Texts of some
+    megabytes together are labelled at once; a longer one is labelled whole, by itself.
     """
     bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep])
+    added = free_names(kept, "_lang", "_score", *["_words"] * with_words)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias(free_names(kept, "_text")[0]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     word_type = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf: Crf = sent.value
         for b in batches:
-            texts = [words_in(t) for t in b.column(len(keep)).to_pylist()]
+            given = b.column(len(keep)).to_pylist()
             langs, scores, listed = [], [], []
-            for words, p in zip(texts, crf.word_posteriors(texts) if crf.labels else [None] * len(texts), strict=True):
-                if words and crf.labels:
-                    total = p.sum(0)
-                    best = int(np.argmax(total))
-                    langs.append(crf.labels[best])
-                    scores.append(min(1.0, float(total[best] / len(words))))
-                else:
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                if with_words:
-                    listed.append([{"word": w, "lang": crf.labels[int(np.argmax(q))], "p": float(q.max())} for w, q in zip(words, p, strict=True)] if words and crf.labels else [])
+            for at, end in by_size(given):
+                texts = [words_in(t) for t in given[at:end]]
+                for words, p in zip(texts, crf.word_posteriors(texts) if crf.labels else [None] * len(texts), strict=True):
+                    if words and crf.labels:
+                        total = p.sum(0)
+                        best = int(np.argmax(total))
+                        langs.append(crf.labels[best])
+                        scores.append(min(1.0, float(total[best] / len(words))))
+                    else:
+                        langs.append(UNDETERMINED)
+                        scores.append(0.0)
+                    if with_words:
+                        listed.append([{"word": w, "lang": crf.labels[int(np.argmax(q))], "p": float(q.max())} for w, q in zip(words, p, strict=True)] if words and crf.labels else [])
             made = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())] + ([pa.array(listed, word_type)] if with_words else [])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *made], names=[*keep, "_lang", "_score", *["_words"] * with_words])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *made], names=[*keep, *added])
 
-    schema = docs.select(*keep).schema.add("_lang", "string").add("_score", "double")
+    schema = kept.schema.add(added[0], "string").add(added[1], "double")
     if with_words:
         word = T.StructType().add("word", "string").add("lang", "string").add("p", "double")
-        schema = schema.add("_words", T.ArrayType(word))
+        schema = schema.add(added[2], T.ArrayType(word))
     return rows.mapInArrow(run, schema)
 
 
@@ -256,6 +272,7 @@ def identify_languages(docs: DataFrame, learn: str, text: str = "text", label: s
 
 
 def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by label_languages(), learned from the rows not held out; nulls, empty and long texts, ties, repeated rows and empty tables as said there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("_learn", id_remainder(F.col("doc_id"), 5) != 0)
     df = identify_languages(docs, "_learn")
