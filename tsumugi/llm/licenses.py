@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
@@ -100,7 +100,7 @@ def license_hits(docs: DataFrame, text: str, doc_id: str, templates: list[tuple[
 
 
 def spans(hits: DataFrame, templates: list[tuple[str, str]], gap: int = 3, cover: float = 0.8) -> DataFrame:
-    """_id, _digest, _label, _start, _end, _cover: verified template spans.
+    """_id, _digest, _label, _start, _end, _cover, _len: verified template spans.
 
     Grams vote for diagonals (text position minus template position). Along a text and template,
     votes whose diagonals differ by at most gap and whose positions lie within a template's length are
@@ -118,21 +118,26 @@ def spans(hits: DataFrame, templates: list[tuple[str, str]], gap: int = 3, cover
     merged = runs.groupBy("_id", "_digest", "_t", "_label", "_len", "_run").agg(F.flatten(F.collect_list("_js")).alias("_js"), F.min("_from").alias("_start"), (F.max("_to") + K).alias("_end"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_js", lambda j: F.sequence(j, j + K - 1)))))
     merged = merged.withColumn("_cover", F.round(covered / F.col("_len"), 6))
-    return merged.filter(F.col("_cover") >= cover).select("_id", "_digest", "_label", "_start", "_end", "_cover")
+    return merged.filter(F.col("_cover") >= cover).select("_id", "_digest", "_label", "_start", "_end", "_cover", "_len")
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: list[tuple[str, str]] | None = None, gap: int = 3, cover: float = 0.8) -> DataFrame:
     """One row per document: its id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    labels: the base labels and those of verified spans. score: the best span's covered share; 1
+    labels: the base labels and those of verified spans. A span inside one of a template of more words counts
+    for nothing: its words belong to the longer notice. score: the best span's covered share; 1
     where a base phrase stands. spans: array of (label, start, end, cover), words counted from 0.
+    Long texts are scanned whole.
     Null and empty texts: no words, empty labels, score 0. Null ids are an id of their own. Rows that
     repeat id and text get equal results. Empty tables give empty tables; other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
-    hits = license_hits(docs, text, doc_id, templates)
+    hits = written(license_hits(docs, text, doc_id, templates), "license-hits")
     base = hits.filter(F.col("_base").isNotNull()).groupBy("_id", "_digest").agg(F.countDistinct("_i").alias("n_base"), F.min("_i").alias("first_word"), F.max("_i").alias("last_word"), F.collect_set("_base").alias("_bases"))
-    found = spans(hits, templates, gap, cover).groupBy("_id", "_digest").agg(F.collect_set("_label").alias("_labels"), F.max("_cover").alias("_score"), F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_label").alias("label"), F.col("_cover").alias("cover")))).alias("spans"))
+    one = F.struct(F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_label").alias("label"), F.col("_cover").alias("cover"), F.col("_len").alias("len"))
+    found = spans(hits, templates, gap, cover).groupBy("_id", "_digest").agg(F.sort_array(F.collect_list(one)).alias("_all"))
+    found = found.withColumn("_all", F.expr("filter(_all, s -> not exists(_all, t -> t.len > s.len and t.start <= s.start and t.end >= s.end))"))
+    found = found.select("_id", "_digest", F.array_distinct("_all.label").alias("_labels"), F.array_max("_all.cover").alias("_score"), F.transform("_all", lambda x: F.struct(x["start"], x["end"], x["label"], x["cover"])).alias("spans"))
     rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_digest"), F.size(split_words(F.col(text))).cast("long").alias("n_words"))
     for side in (base, found):
         side = side.withColumnsRenamed({"_id": "_id2", "_digest": "_digest2"})
@@ -147,6 +152,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
 
 
 def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's row of scan_licenses(); nulls, empty and long texts, ties, repeated rows and empty tables as said there."""
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
@@ -166,13 +172,15 @@ base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last
 grams(t, j, x, y, z) AS (VALUES {grams}),
 known(t, label, len) AS (VALUES {known}),
 diagonals AS (
-  SELECT doc_id, t, label, len, i - j AS d, list(j) AS js, min(i) AS lo
+  SELECT doc_id, t, label, len, i - j AS d, list(j) AS js, min(i) AS lo, max(i) AS hi
   FROM places JOIN grams ON a = x AND b = y AND c = z JOIN known USING (t) GROUP BY ALL),
 steps AS (
   SELECT *, coalesce(d - lag(d) OVER w > 3 OR lo - lag(lo) OVER w > len + 3, true)::INT AS fresh FROM diagonals WINDOW w AS (PARTITION BY doc_id, t ORDER BY d, lo)),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY d, lo) AS run FROM steps),
 covered AS (SELECT doc_id, t, label, len, run, count(DISTINCT j + k) AS n FROM (SELECT doc_id, t, label, len, run, unnest(js) AS j FROM runs), range({K}) AS r(k) GROUP BY ALL),
-spans AS (SELECT doc_id, label, round(n / len, 6) AS cover FROM covered WHERE round(n / len, 6) >= 0.8),
+places_of AS (SELECT doc_id, t, run, min(lo) AS a, max(hi) + {K} AS b FROM runs GROUP BY ALL),
+verified AS (SELECT doc_id, label, len, a, b, round(n / len, 6) AS cover FROM covered JOIN places_of USING (doc_id, t, run) WHERE round(n / len, 6) >= 0.8),
+spans AS (SELECT doc_id, label, cover FROM verified s WHERE NOT EXISTS (FROM verified l WHERE l.doc_id = s.doc_id AND l.len > s.len AND l.a <= s.a AND l.b >= s.b)),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM bases UNION ALL SELECT doc_id, label FROM spans) GROUP BY doc_id),
 base_labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM bases GROUP BY doc_id),
 best AS (SELECT doc_id, max(cover) AS cover FROM spans GROUP BY doc_id)
