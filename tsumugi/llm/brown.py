@@ -482,6 +482,7 @@ def score_texts(docs: DataFrame, held: str, text: str = "text", doc_id: str = "d
 
 
 def op10_brown_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by score_texts(); nulls, empty and long texts, ties, repeated rows and empty tables as said there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("_held_out", id_remainder(F.col("doc_id"), 10) == 0)
     return score_texts(docs, "_held_out").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
