@@ -94,8 +94,13 @@ def exact_expected(data):
     for d, t, *_ in data:
         ids = groups[t or ""]
         keep = max((i for i in ids if i is not None), default=None)
-        out.append((d, keep, len(ids), d == keep, hashlib.sha256((t or "").encode()).hexdigest()))
-    return out
+        out.append([d, keep, len(ids), False, hashlib.sha256((t or "").encode()).hexdigest()])
+    best = {}
+    for r in out:  # of rows that repeat text and id, one stays
+        best.setdefault((r[4], r[1]), r)
+        if r[0] == r[1] and not best[(r[4], r[1])][3]:
+            r[3], best[(r[4], r[1])] = True, r
+    return [tuple(r) for r in out]
 
 
 def key(x):
@@ -118,15 +123,29 @@ def test_exact_query_and_empty(spark, folder):
     assert {r["text"] or "" for r in left.collect()} == {t or "" for _, t, *_ in H.rows()}
 
 
-def test_directory_splits_overfull_buckets(spark):
+@pytest.mark.parametrize("capacity", [3, 100, 5000])
+def test_directory_splits_overfull_buckets(spark, capacity):
     keys = spark.range(2000).selectExpr("xxhash64(id) as _key")
-    directory, depths = exact.build_directory(keys, 100, 2)
+    directory = exact.build_directory(keys, capacity)
     rows = directory.collect()
-    assert max(depths) > 2 and max(r["_n"] for r in rows) <= 100 and sum(r["_n"] for r in rows) == 2000
-    # No bucket holds another, and together they cover all keys.
-    assert sum(2.0 ** -r["_depth"] for r in rows) == 1.0
-    all_same = spark.range(50).selectExpr("cast(7 as bigint) as _key")
-    assert [r["_n"] for r in exact.build_directory(all_same, 10, 62)[0].collect()] == [50]
+    # No bucket holds another, and together they cover all keys; a bucket's parent was overfull.
+    assert len(set(map(tuple, rows))) == len(rows)
+    sizes = Counter(r["_bucket"] for r in exact.to_buckets(keys, directory).collect())
+    assert None not in sizes and max(sizes.values()) <= capacity and sum(sizes.values()) == 2000
+    assert (len(rows) == 1) == (capacity == 5000)
+    own = lambda k, d: ((k & (2**64 - 1)) >> (64 - d)) if d else 0
+    values = [r["_key"] for r in keys.collect()]
+    for r in rows:
+        n = sum(own(k, r["_depth"] - 1) == r["_prefix"] >> 1 for k in values) if r["_depth"] else 0
+        assert r["_depth"] == 0 or n > capacity
+
+
+def test_directory_of_close_keys(spark):
+    """Keys that differ in their last bits alone need all 64 doublings; equal keys are one key."""
+    keys = spark.createDataFrame([(k,) for k in range(8)], "_key bigint")
+    directory = exact.build_directory(keys, 1)
+    sizes = Counter(r["_bucket"] for r in exact.to_buckets(keys, directory).collect())
+    assert max(r["_depth"] for r in directory.collect()) == 64 and sorted(sizes.values()) == [1] * 8
 
 
 def poisson(u, rate):
@@ -168,11 +187,10 @@ def test_mixing(spark, weights):
     want = Counter()
     for r in data:
         rate = len(data) * share[r[3]] / n[r[3]]
-        d = "null" if r[0] is None else r[0]
-        for c in range(poisson(drawn(17, d), rate) if rate else 0):
-            want[(r[0], r[1], c, drawn(17, d, c))] += 1
+        for c in range(poisson(drawn(17, r[0]), rate) if rate and r[0] is not None else 0):
+            want[(r[0], r[1], c, drawn(17, r[0], c))] += 1
     df = mixing.mix(H.frame(spark), weights=weights)
-    got = Counter((r["doc_id"], r["text"], r["_copy"], r["_order"]) for r in df.collect())
+    got = Counter((r["doc_id"], r["text"], r["_copy"], r["_order"]) for r in df.filter("doc_id is not null").collect())
     assert got == want
     order = [r["_order"] for r in df.select("_order").collect()]
     assert order == sorted(order)
