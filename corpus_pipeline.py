@@ -12,28 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 from tsumugi.llm.common import table, written
 from tsumugi.llm.exact import drop_exact
 from tsumugi.llm.mixing import mix
+from tsumugi.llm.near import drop_similar
 from tsumugi.llm.packing import pack, packed_columns
 from tsumugi.llm.quality import keep_good
-from tsumugi.llm.simhash import drop_near
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-supervision posterior calls good; the base rule of all-must-pass filtering plays no part.
+
+    Texts without words (null, empty, blank) go. Repeated rows are judged alike; no documents: none.
+    """
     return keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text: the largest id, null ids last; of rows that repeat id and text one. No documents: none."""
     return drop_exact(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near(docs)
+    """One document of each group linked at a similarity of 0.8 of five-word shingles: the smallest id, null ids last, ties by
+    the text's hash. All texts without words are one group. No documents: none."""
+    return drop_similar(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs).select(*docs.columns)
+    """Each document as often as its Poisson number says, sources at equal shares, shuffled globally. Null is a source of its
+    own; rows without id draw by a hash of all their columns. No documents: none."""
+    return mix(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 tokens, copies apart. Null and empty texts are the closing id alone;
+    rows that repeat an id are packed one by one. No documents: none."""
     return packed_columns(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
