@@ -32,6 +32,34 @@ def test_archive(spark, archive, tmp_path):
         I.install_with(spark, I.InstallOptions(again.source, "1.0", root, force=True))
 
 
+def test_a_broken_install_leaves_no_trace(spark, archive, tmp_path, monkeypatch):
+    """An extraction that stops half-way installs nothing, and by force leaves what was there."""
+    root = str(tmp_path / "root")
+    real = I.shutil.copyfileobj
+    left = [3]
+
+    def stops(src, out):
+        left[0] -= 1
+        if left[0] < 0:
+            raise OSError("disk full")
+        real(src, out)
+
+    monkeypatch.setattr(I.shutil, "copyfileobj", stops)
+    with pytest.raises(errors.StorageError):
+        I.install_with(spark, I.InstallOptions(archive, "1.0", root))
+    assert not any(fs for _, _, fs in os.walk(root))
+    monkeypatch.setattr(I.shutil, "copyfileobj", real)
+    n = I.install_with(spark, I.InstallOptions(archive, "1.0", root)).count()
+    left[0] = 3
+    monkeypatch.setattr(I.shutil, "copyfileobj", stops)
+    with pytest.raises(errors.StorageError):
+        I.install_with(spark, I.InstallOptions(archive, "1.0", root, force=True))
+    assert I.install_with(spark, I.InstallOptions("gone", "1.0", root)).count() == n
+    monkeypatch.setattr(I.shutil, "copyfileobj", real)
+    assert I.install_with(spark, I.InstallOptions(archive, "1.0", root, force=True)).count() == n
+    assert not [d for d in os.listdir(os.path.join(root, "tsumugi", f"fmt{I.FORMAT_VERSION}")) if d.startswith(".")]
+
+
 def test_bad_archives(spark, tmp_path):
     bad = tmp_path / "bad.tar.gz"
     bad.write_bytes(b"not an archive")

@@ -6,6 +6,7 @@ import os
 import re
 import shutil
 import tarfile
+import tempfile
 import urllib.error
 import urllib.request
 from collections.abc import Callable
@@ -52,6 +53,7 @@ def resolved_cache_dir() -> Path:
 
 
 def complete(folder: Path) -> bool:
+    """Whether the folder was put in place as a whole: install_with() moves nothing else there."""
     return all(any((folder / t).glob("*.parquet")) for t in TABLES)
 
 
@@ -80,29 +82,53 @@ def extract(archive: tarfile.TarFile, target: Path) -> None:
             shutil.copyfileobj(src, out)
 
 
+def put_in_place(made: Path, target: Path) -> None:
+    """Renames a whole folder to the target; what was installed before goes only then."""
+    old = None
+    if target.exists():
+        old = Path(tempfile.mkdtemp(dir=target.parent, prefix=".old-")) / "tables"
+        target.rename(old)
+    try:
+        made.rename(target)
+    except OSError:
+        if old is not None:
+            old.rename(target)
+        raise
+    if old is not None:
+        shutil.rmtree(old.parent, ignore_errors=True)
+
+
 def install_with(spark: SparkSession, options: InstallOptions) -> Dictionary:
-    """Opens what is installed under the root; where it is not whole, or by force, from the archive anew."""
+    """Opens what is installed under the root; where it is not whole, or by force, from the archive anew.
+
+    The archive is extracted beside the target and renamed once it is whole, so a broken extraction leaves nothing that
+    counts as installed, and a failed one by force leaves what was there.
+    """
     root = Path(options.cache_dir) if options.cache_dir else resolved_cache_dir()
     target = root / "tsumugi" / f"fmt{FORMAT_VERSION}" / options.version
     if options.force or not complete(target):
-        if options.force and target.exists():
-            shutil.rmtree(target)
-        target.mkdir(parents=True, exist_ok=True)
+        aside = None
         try:
+            target.parent.mkdir(parents=True, exist_ok=True)
+            aside = Path(tempfile.mkdtemp(dir=target.parent, prefix=".new-"))
             if re.match("https?://", options.source):
                 archive = tarfile.open(fileobj=BytesIO(download(options.source)), mode="r:gz")
             else:
                 archive = tarfile.open(options.source, mode="r:gz")
             with archive:
-                extract(archive, target)
+                extract(archive, aside / "tables")
+            if not complete(aside / "tables"):
+                raise DataCorrupted(f"{options.source} has not all of {', '.join(TABLES)}")
+            put_in_place(aside / "tables", target)
         except FileNotFoundError as e:
             raise DataNotFound(options.source) from e
-        except tarfile.TarError as e:
+        except (tarfile.TarError, EOFError) as e:
             raise DataCorrupted(options.source) from e
         except OSError as e:
             raise StorageError(str(e)) from e
-        if not complete(target):
-            raise DataCorrupted(f"{options.source} has not all of {', '.join(TABLES)}")
+        finally:
+            if aside is not None:
+                shutil.rmtree(aside, ignore_errors=True)
     return Dictionary.open(spark, str(target))
 
 
