@@ -44,7 +44,8 @@ def test_any_word_ends_and_comes_first(word):
             assert len(chain) == len(set(chain))
 
 
-@pytest.mark.parametrize("text, hiragana", [("ike", "いけ"), ("イケ", "いけ"), ("zubon", "ずぼん"), ("durai", "づらい"), ("itt", "いっt"), ("itte", "いって"), ("ittt", "いっっt"), ("itttte", "いっっって"), ("nn", "んん"), ("ネコneko", "ねこneko"), ("Di", "ぢ"), ("", "")])
+# Spellings.
+@pytest.mark.parametrize("text, hiragana", [("ike", "いけ"), ("イケ", "いけ"), ("zubon", "ずぼん"), ("durai", "づらい"), ("itt", "いっt"), ("itte", "いって"), ("ittt", "いっっt"), ("itttte", "いっっって"), ("nn", "んん"), ("ネコneko", "ねこneko"), ("Di", "ぢ"), ("xtsu", "っ"), ("ltsu", "っ"), ("axtsuta", "あった"), ("", "")])
 def test_to_hiragana(text, hiragana):
     assert to_hiragana_text(text) == hiragana
 

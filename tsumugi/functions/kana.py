@@ -25,6 +25,8 @@ TO_KANA = {c + v: k for c, row in _ROWS.items() for v, k in zip("aiueo", row, st
 TO_KANA |= {c + v: k + small for c, k in _GLIDES.items() for v, small in _SMALL.items()}
 #: The Hepburn spelling of each syllable: ぢ and づ read as じ and ず.
 TO_ROMAJI = {k: r for r, k in TO_KANA.items()} | {"ぢ": "ji", "づ": "zu"}
+# The small tsu by itself. It has no syllable to be read back as.
+TO_KANA |= {"xtsu": "っ", "ltsu": "っ"}
 
 
 def _any(keys) -> str:
