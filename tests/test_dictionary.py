@@ -195,3 +195,46 @@ def test_stream(spark, dictionary, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["pos"], r["entry"]["id"]) for r in got) == [(0, "1000")] + [(1, i) for i in ("1010", "1020", "1030", "1040", "1050")]
+
+
+def pushed(df):
+    """The filters that the scans of a plan take."""
+    import re
+
+    return re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_single_lookups_read_only_their_keys(dictionary):
+    """Key filters reach the scan, and so do the few candidates' ids."""
+    from tsumugi.plans.query import entries_of, find
+
+    plans = {mode: pushed(dictionary.lookup("たべ").mode(mode).dataframe()) for mode in MatchMode}
+    assert any("EqualTo(key,たべ)" in p for p in plans[MatchMode.EXACT])
+    assert any("StringStartsWith(key,たべ)" in p for p in plans[MatchMode.PREFIX])
+    assert any("GreaterThanOrEqual(key_len,0)" in p for p in plans[MatchMode.FUZZY])
+    assert all("In(key, [" in p or "EqualTo(key" in p for p in plans[MatchMode.DEINFLECT] if "key" in p)
+    options = QueryOptions(mode=MatchMode.PREFIX)
+    found = find(dictionary.terms(["たべ"]), dictionary, options, "たべ")
+    assert any("In(seq_id, [1,2,3,4,5])" in p.replace(", ", ",").replace("In(seq_id,[", "In(seq_id, [") for p in pushed(entries_of(found, dictionary)))
+    none = find(dictionary.terms(["zzz"]), dictionary, QueryOptions(), "zzz")
+    assert entries_of(none, dictionary).count() == 0
+
+
+def test_many_candidates_are_joined(dictionary, monkeypatch):
+    from tsumugi.plans import query
+
+    monkeypatch.setattr(query, "LOOKED_UP", 2)
+    assert found(dictionary.lookup_partial("たべ")) == ["1010", "1020", "1030", "1040", "1050"]
+
+
+def test_gloss_starts_from_the_rarest_token(spark, dictionary):
+    """Postings of a frequent token are looked up for the rare token's entries alone."""
+    from tsumugi.operators import candidates as C
+
+    rows = [("the", k) for k in range(500)] + [("cat", 7), ("cat", 999), ("dog", 7)]
+    postings = spark.createDataFrame(rows, "token string, seq_id bigint")
+    df = postings.groupBy("token").count().withColumnRenamed("count", "df")
+    asked = spark.createDataFrame([(0, "the cat"), (1, "cat"), (2, "cat dog the"), (3, "the absent"), (4, "dog dog")], "pos bigint, term string")
+    got = {(r["pos"], r["seq_id"]): r["score"] for r in C.gloss(asked, postings, df).collect()}
+    assert set(got) == {(0, 7), (1, 7), (1, 999), (2, 7), (4, 7)}
+    assert got[(0, 7)] == 0.3 + 2 / 502 and got[(4, 7)] == 0.6

@@ -56,14 +56,23 @@ def prefix_pairs(terms: DataFrame, keys: DataFrame) -> DataFrame:
     return terms.join(cut, F.col("term") == F.col("_prefix")).select("pos", "term", "key", "script_rank", "seq_id")
 
 
-def prefix(terms: DataFrame, keys: DataFrame) -> DataFrame:
-    """Keys that start with the term: the term itself Exact, 1.0, others Prefix, 0.5; an entry once."""
+def _prefixed(pairs: DataFrame) -> DataFrame:
     same = F.col("key") == F.col("term")
     kind = F.when(same, MatchType.EXACT.value).otherwise(MatchType.PREFIX.value)
-    pairs = prefix_pairs(terms, keys).withColumns({"kind": kind, "score": F.when(same, 1.0).otherwise(0.5)})
+    pairs = pairs.withColumns({"kind": kind, "score": F.when(same, 1.0).otherwise(0.5)})
     return _shape(best_per_entry(pairs), [-F.col("score"), F.col("seq_id")], F.col("kind"), F.col("key"), F.col("score"))
 
 
+def prefix(terms: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keys that start with the term: the term itself Exact, 1.0, others Prefix, 0.5; an entry once."""
+    return _prefixed(prefix_pairs(terms, keys))
+
+
+def prefix_of(term: str, keys: DataFrame) -> DataFrame:
+    """The same for one term, as pos 0, and the keys that start with it: no join and no job beforehand."""
+    return _prefixed(keys.select(F.lit(0).cast("bigint").alias("pos"), F.lit(term).alias("term"), "key", "script_rank", "seq_id"))
+
+
 def _segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
     """(start from 0, length) of the even parts of a text; the later parts are the longer ones."""
     short, long_ones = F.floor(length / parts).cast("int"), (length % parts).cast("int")
@@ -136,13 +145,21 @@ def deinflected(terms: DataFrame, keys: DataFrame) -> DataFrame:
 def gloss(queries: DataFrame, postings: DataFrame, token_df: DataFrame) -> DataFrame:
     """Entries whose glosses hold every token of a query (terms are the queries here).
 
-    Relational division: the entry's matched tokens must be as many as the query's. The score rises
+    The list of the query's rarest token gives the candidates; its other tokens are then looked up for these entries
+    alone, so a frequent token's list is never emitted. A query with a token that no entry has finds nothing. The score rises
     with rare tokens, 0.6 at most; it counts the postings of all the query's tokens.
     """
     asked = queries.select("pos", tokens(F.col("term")).alias("_ts")).filter(F.size("_ts") > 0)
     wanted = asked.select("pos", "_ts", F.explode("_ts").alias("token"))
-    sums = wanted.join(token_df, "token").groupBy("pos").agg(F.sum("df").alias("_df"))
-    hits = wanted.join(postings, "token").groupBy("pos", "seq_id").agg(F.count("*").alias("_n"), F.first("_ts").alias("_ts"))
-    rows = hits.filter(F.col("_n") == F.size("_ts")).join(sums, "pos")
+    named = wanted.select("token").distinct()
+    counted = wanted.join(token_df.join(named, "token", "left_semi"), "token")
+    per = counted.groupBy("pos").agg(F.sum("df").alias("_df"), F.count("*").alias("_known"), F.min(F.struct("df", "token")).alias("_m"), F.first("_ts").alias("_ts"))
+    per = per.filter(F.col("_known") == F.size("_ts")).select("pos", "_ts", "_df", F.col("_m.token").alias("_rarest"))
+    lists = postings.join(named, "token", "left_semi")
+    first = per.join(lists, F.col("_rarest") == F.col("token")).select("pos", "_ts", "_df", "_rarest", "seq_id")
+    alone = first.filter(F.size("_ts") == 1).select("pos", "_ts", "_df", "seq_id")
+    probes = first.filter(F.size("_ts") > 1).select("pos", "_ts", "_df", "seq_id", F.explode(F.array_remove("_ts", F.col("_rarest"))).alias("token"))
+    hits = probes.join(lists, ["token", "seq_id"]).groupBy("pos", "seq_id").agg(F.count("*").alias("_n"), F.first("_ts").alias("_ts"), F.first("_df").alias("_df"))
+    rows = alone.unionByName(hits.filter(F.col("_n") == F.size("_ts") - 1).drop("_n"))
     score = F.least(F.lit(0.6), F.lit(0.3) + F.size("_ts").cast("double") / F.greatest(F.col("_df"), F.lit(1)).cast("double"))
     return _shape(rows, [F.col("seq_id")], MatchType.GLOSS.value, F.array_join("_ts", " "), score)

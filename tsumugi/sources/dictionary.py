@@ -14,8 +14,8 @@ from ..functions.text import tokens
 from ..operators import candidates as C
 from ..operators.filters import has_reading
 from ..plans.build import build_indexes, meta_row, tables_of
-from ..plans.query import BatchQuery, Query, resolve, terms_frame
-from ..schema import FORMAT_VERSION, TABLES, DataVersion, MatchMode, MatchType, QueryOptions, Xref
+from ..plans.query import BatchQuery, Query, entries_of, resolve, terms_frame
+from ..schema import DEINFLECTION, FORMAT_VERSION, TABLES, DataVersion, MatchMode, MatchType, QueryOptions, Xref
 from .entries import read_source
 
 #: Names the folder of the default dictionary.
@@ -101,17 +101,24 @@ class Dictionary:
         """Entries start to start + count - 1, as far as there are any, by a pushed-down range."""
         return self.entries.filter((F.col("seq_id") >= start) & (F.col("seq_id") < start + count)).orderBy("seq_id")
 
+    def at(self, seq_id: int) -> DataFrame:
+        return self.entries.filter(F.col("seq_id") == seq_id)
+
     def get(self, seq_id: int) -> Row | None:
-        return self.entries.filter(F.col("seq_id") == seq_id).first()
+        return self.at(seq_id).first()
 
-    def by_ids(self, wanted: DataFrame) -> DataFrame:
+    def by_ids(self, wanted: DataFrame, entries: DataFrame | None = None) -> DataFrame:
         """pos and id in; pos, seq_id and the entry as an exact match out."""
-        found = wanted.join(self.ids, "id")
-        exact = found.select("pos", F.lit(0).cast("bigint").alias("ord"), "seq_id", F.lit(MatchType.EXACT.value).alias("match_type"), F.col("id").alias("match_key"), F.lit(1.0).alias("score"), F.lit(None).cast("struct<original_form:string,base_form:string,rules:array<string>>").alias("deinflection"))
-        return resolve(exact, self, QueryOptions())
+        return resolve(self._by_ids(wanted, self.ids), self, QueryOptions(), entries)
+
+    def _by_ids(self, wanted: DataFrame, ids: DataFrame) -> DataFrame:
+        none = F.lit(None).cast(DEINFLECTION).alias("deinflection")
+        return wanted.join(ids, "id").select("pos", F.lit(0).cast("bigint").alias("ord"), "seq_id", F.lit(MatchType.EXACT.value).alias("match_type"), F.col("id").alias("match_key"), F.lit(1.0).alias("score"), none)
 
     def lookup_by_id(self, entry_id: str) -> Row | None:
-        return self.by_ids(self.spark.createDataFrame([(0, entry_id)], "pos bigint, id string")).first()
+        one = self.spark.createDataFrame([(0, entry_id)], "pos bigint, id string")
+        found = self._by_ids(one, self.ids.filter(F.col("id") == entry_id))
+        return resolve(found, self, QueryOptions(), entries_of(found, self)).first()
 
     # Lookups
 
@@ -140,17 +147,24 @@ class Dictionary:
         return resolve(C.gloss(queries, self.postings, self.token_df), self, QueryOptions())
 
     def lookup_gloss(self, query: str) -> list[Row]:
-        return self.gloss_batch(self.terms([query])).orderBy("ord").drop("pos").collect()
+        """Only the lists of the query's tokens are read, and only the entries found."""
+        named = F.col("token").isin(self.gloss_tokens(query))
+        found = C.gloss(self.terms([query]), self.postings.filter(named), self.token_df.filter(named))
+        return resolve(found, self, QueryOptions(), entries_of(found, self)).orderBy("ord").drop("pos").collect()
 
     def xref_batch(self, xrefs: DataFrame) -> DataFrame:
         """pos, term, reading in. Exact matches of the term among whose kana the reading is, if one is given."""
-        found = resolve(C.exact(xrefs.select("pos", "term"), self.keys), self, QueryOptions())
+        return self._with_reading(resolve(C.exact(xrefs.select("pos", "term"), self.keys), self, QueryOptions()), xrefs)
+
+    @staticmethod
+    def _with_reading(found: DataFrame, xrefs: DataFrame) -> DataFrame:
         rows = found.join(xrefs.select("pos", "reading"), "pos")
         return rows.withColumn("kana", F.col("entry.kana")).filter(has_reading(F.col("reading"))).drop("kana", "reading")
 
     def resolve_xref(self, xref: Xref) -> list[Row]:
         one = self.spark.createDataFrame([(0, xref.term, xref.reading)], "pos bigint, term string, reading string")
-        return self.xref_batch(one).orderBy("ord").drop("pos").collect()
+        found = C.exact(one.select("pos", "term"), self.keys.filter(F.col("key") == xref.term))
+        return self._with_reading(resolve(found, self, QueryOptions(), entries_of(found, self)), one).orderBy("ord").drop("pos").collect()
 
     def gloss_tokens(self, text: str) -> list[str]:
         return self.terms([text]).select(tokens(F.col("term"))).first()[0]
