@@ -1,7 +1,7 @@
 """The registered queries: each operator over dictionary-shaped views of the driver's tables.
 
-parts serve as entries with three scripts (name, brand, type), documents as glosses, orders with their
-lines as entries with senses. Every query runs over whole tables. ORACLES has the same in DuckDB SQL.
+parts serve as entries with three scripts (name, brand, type) and as whole dictionary entries, documents as glosses, orders
+with their lines as entries with senses. Every query runs over whole tables. ORACLES has the same in DuckDB SQL.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from ..functions.deinflect import deinflect
 from ..operators import candidates as C
 from ..operators.filters import any_contains, has_reading, limit_per_term, sense_matches
 from ..schema import QueryOptions
+from ..sources.dictionary import Dictionary
+from ..sources.entries import parse_entry_lines
 from ..streaming.lookup import exact_stream
 from . import build
 
@@ -108,9 +110,9 @@ def limit_per_term_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token of the documents as a key of its first document."""
-    forms = document_postings(spark, sf_dir).select(F.lit("kana").alias("script"), F.col("token").alias("key"), F.col("seq_id"))
-    return build.collapse_keys(forms)
+    """Every token of the documents as a key of its first document; the collapse alone combines them."""
+    docs = table(spark, sf_dir, "documents")
+    return build.collapse_keys(docs.select(F.lit("kana").alias("script"), F.explode(text.tokens(F.col("text"))).alias("key"), F.col("doc_id").alias("seq_id")))
 
 
 FUZZY_TERMS = ["the", "idiot", "thand", "ofthe", "licence", "einlich", "verber", "a", "12345", ""]
@@ -182,36 +184,96 @@ def xref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(has_reading(F.col("reading"))).select("term", "reading", "seq_id", "score")
 
 
-def by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts that lines name, by their ids as text; each line's row."""
-    ids = build.ids(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").alias("seq_id")))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("id"))
-    return lines.join(ids, "id").select("l_orderkey", "l_linenumber", "seq_id", F.lit(1.0).alias("score"))
+def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as source JSON, an entry each: brand as kanji, name as kana, type as part of speech, size as misc. The cross
+    references have all forms: a term, with a reading, with a sense number, with both, and none."""
+    p = table(spark, sf_dir, "part")
+    form = F.struct((F.col("p_size") > 25).alias("common"), F.col("p_brand").alias("text"), F.array().cast("array<string>").alias("tags"))
+    plain = F.to_json(F.struct(F.col("p_partkey").alias("seq_id"), F.col("p_partkey").cast("string").alias("id"), F.array(form).alias("kanji")))
+    kana = F.format_string('"kana":[{"common":false,"text":"%s","tags":[],"appliesToKanji":["*"]}]', "p_name")
+    related = F.format_string('[["%s"],["%s","%s"],["%s",%d],["%s","%s",2],[]]', "p_brand", "p_brand", "p_name", "p_name", F.col("p_size").cast("int"), "p_brand", "p_name")
+    sense = F.format_string('"sense":[{"partOfSpeech":["%s"],"appliesToKanji":["*"],"appliesToKana":["*"],"related":%s,"antonym":[],"field":[],"dialect":[],"misc":["size %d"],"info":[],"languageSource":[],"gloss":[{"lang":"eng","gender":null,"type":null,"text":"%s, %s"},{"lang":"ger","gender":null,"type":null,"text":"Teil"}]}]', "p_type", related, F.col("p_size").cast("int"), "p_name", "p_type")
+    return p.select(F.concat(F.regexp_replace(plain, "}$", ""), F.lit(","), kana, F.lit(","), sense, F.lit("}")).alias("value"))
 
 
-def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter((F.col("p_partkey") >= 50) & (F.col("p_partkey") < 50 + 25)).orderBy("p_partkey").select("p_partkey", "p_name")
+def part_dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
+    return Dictionary.from_entries(parse_entry_lines(part_lines(spark, sf_dir)), "parts")
 
 
-def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter(F.col("p_partkey") == 42).select("p_partkey", "p_name")
+def source_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source's entries after cleaning, with their cross references as text."""
+    e = parse_entry_lines(part_lines(spark, sf_dir))
+    ref = lambda x: F.concat_ws("/", x["term"], F.coalesce(x["reading"], F.lit("-")), F.coalesce(x["sense_index"].cast("string"), F.lit("-")))
+    return e.select("seq_id", "id", E.headword().alias("headword"), E.primary_kana().alias("kana"), E.is_common().alias("is_common"), F.array_join(F.transform(F.col("sense")[0]["related"], ref), ";").alias("related"), E.first_gloss().alias("gloss"))
+
+
+def surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.surface_forms(part_dictionary(spark, sf_dir).entries)
 
 
 def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").orderBy("p_partkey").select("p_partkey", "p_name", "p_brand", "p_type")
+    return part_dictionary(spark, sf_dir).scan().select("seq_id", "id", E.headword().alias("headword"), E.primary_kana().alias("kana"))
+
+
+def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_dictionary(spark, sf_dir).page(50, 25).select("seq_id", "id", E.primary_kana().alias("kana"))
+
+
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_dictionary(spark, sf_dir).at(42).select("seq_id", E.primary_kana().alias("kana"))
 
 
 def scan_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(part_dictionary(spark, sf_dir).count(),)], "n bigint")
+
+
+def by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts that lines name, by their ids as text; a row for each line."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").cast("string").alias("id"))
+    found = part_dictionary(spark, sf_dir).by_ids(lines)
+    return found.select("pos", "ord", "seq_id", "match_type", "match_key", "score", F.col("entry.id").alias("id"), E.primary_kana("entry.kana").alias("kana"))
+
+
+def lookup_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes of names looked up: common entries of two types, at most two of a term, counted after the filters."""
+    query = part_dictionary(spark, sf_dir).lookup_batch(cut_terms(spark, sf_dir, 6)).mode("Prefix").common_only().pos("ECON", "SMALL").limit(2)
+    return query.dataframe().select("pos", "ord", "seq_id", "match_type", "match_key", "score", F.col("entry.id").alias("id"))
+
+
+def lookup_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation and every part's name as a term: a row each, found or not."""
+    nations = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey").cast("bigint")).alias("pos"), F.col("n_name").alias("term"))
+    rows = part_dictionary(spark, sf_dir).lookup_batch(part_terms(spark, sf_dir).unionByName(nations)).grouped()
+    return rows.select("pos", "term", F.size("results").alias("n"), F.array_join(F.transform("results", lambda r: r["entry"]["id"]), ",").alias("ids"))
+
+
+def lookup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One term by the fluent query."""
+    return part_dictionary(spark, sf_dir).lookup("red w").mode("Prefix").limit(5).dataframe().select("ord", "seq_id", "match_type", "match_key", "score", F.col("entry.id").alias("id"))
+
+
+def xref_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's brand with its name as the reading, and without one."""
+    p = table(spark, sf_dir, "part")
+    asked = F.array(F.struct((2 * F.col("p_partkey")).alias("pos"), F.col("p_brand").alias("term"), F.col("p_name").alias("reading")), F.struct((2 * F.col("p_partkey") + 1).alias("pos"), F.col("p_brand").alias("term"), F.lit(None).cast("string").alias("reading")))
+    return part_dictionary(spark, sf_dir).xref_batch(p.select(F.inline(asked))).select("pos", "ord", "seq_id", "match_type", "score", F.col("entry.id").alias("id"))
+
+
+def gloss_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name with its type as a gloss query."""
+    asked = table(spark, sf_dir, "part").select("p_name", "p_type").distinct().select(F.xxhash64("p_name", "p_type").alias("pos"), F.concat_ws(" ", F.lower("p_type"), "p_name").alias("term"))
+    found = part_dictionary(spark, sf_dir).gloss_batch(asked).join(asked, "pos")
+    return found.select("term", "ord", "seq_id", "match_type", "match_key", "score", F.col("entry.id").alias("id"))
 
 
 def value_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The substring test on part types: case counts."""
     p = table(spark, sf_dir, "part").withColumn("tags", F.split("p_type", " "))
-    return p.filter(any_contains(F.col("tags"), ("ASS", "tin"))).select("p_partkey")
+    return p.filter(any_contains(F.col("tags"), ("ECO", "MALL", "small"))).select("p_partkey")
 
 
-KANA_ROWS = ["neko", "ネコ", "ねこ", "kyou", "gakkou", "itte", "ittte", "itt", "durai", "shinbun", "きょう", "いって", "しゅみ", "たべる", "にほん", "がっこう", ""]
+# Words of the transliteration rows, and their spellings in the SQL below.
+KANA_ROWS = ["neko", "ネコ", "ねこ", "kyou", "gakkou", "itte", "ittte", "itt", "durai", "shinbun", "きょう", "いって", "しゅみ", "たべる", "にほん", "がっこう", "xtsu", "ltsu", "mixtsuka", ""]
 
 
 def _kana(spark: SparkSession, *columns) -> DataFrame:
@@ -239,7 +301,7 @@ def script_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _literal(spark, [(x,) for x in SCRIPT_ROWS], "word string").select("word", *[v.alias(k) for k, v in tests.items()])
 
 
-#: Inflected form, dictionary form, type, reason chains (reasons joined by +, chains by /).
+# Inflected form, dictionary form, type, reason chains (reasons joined by +, chains by /).
 DEINFLECTIONS = [
     ("走ります", "走る", 2, "Polite"), ("走リマス", "走る", 2, "Polite"), ("走ッタ", "走る", 2, "Past"), ("踊りたくなかった", "踊る", 2, "Tai+Negative+Past"),
     ("食べ", "食べる", 9, "MasuStem"), ("思わぬ", "思う", 2, "Negative"), ("見ぬ", "見る", 9, "Negative"), ("こぬ", "くる", 8, "Negative"), ("食べられぬ", "食べる", 9, "PotentialOrPassive+Negative"),
@@ -261,8 +323,13 @@ def deinflect_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     bases = list(dict.fromkeys(r[1] for r in DEINFLECTIONS))
     keys = _literal(spark, [(0, "kana", b, len(b), k) for k, b in enumerate(bases)], "script_rank int, script string, key string, key_len int, seq_id bigint")
     terms = _literal(spark, [(k, r[0]) for k, r in enumerate(DEINFLECTIONS)] + [(100, "走る"), (101, "美しいです")], "pos bigint, term string")
-    out = C.deinflected(terms, keys)
-    return out.filter((F.col("pos") >= 100) | (F.col("ord") == 0)).select("pos", "match_type", "score", F.col("deinflection.original_form").alias("original_form"))
+    return C.deinflected(terms, keys).select("pos", "ord", "match_type", "match_key", "score", F.col("deinflection.original_form").alias("original_form"))
+
+
+def deinflect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every inflected form, in order of discovery."""
+    forms = _literal(spark, [(r[0],) for r in DEINFLECTIONS], "inflected string").select("inflected", F.posexplode(deinflect(F.col("inflected"))).alias("step", "c"))
+    return forms.select("inflected", "step", F.col("c.word").alias("base"), F.col("c.word_type").alias("word_type"), F.array_join(F.transform("c.reason_chains", lambda c: F.array_join(c, "+")), "/").alias("reasons"))
 
 
 def stream_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +351,8 @@ def stream_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     gloss_and, gloss_postings_df, gloss_tokens, keys_collapse, exact_batch, prefix_batch, limit_per_term_batch, fuzzy_batch, fuzzy_parts, filter_conjunction, filter_each, accessors,
-    glosses_by_language, first_seen_distinct, xref_resolve, by_id, page_range, point_get, full_scan, scan_count, value_contains, kana_to_hiragana, kana_to_katakana, kana_to_romaji, script_tests, deinflect_forms, deinflect_batch, stream_exact,
+    glosses_by_language, first_seen_distinct, xref_resolve, source_entries, surface_forms, full_scan, page_range, point_get, scan_count, by_id, lookup_filtered, lookup_grouped, lookup_single, xref_lookup,
+    gloss_lookup, value_contains, kana_to_hiragana, kana_to_katakana, kana_to_romaji, script_tests, deinflect_forms, deinflect_all, deinflect_batch, stream_exact,
 )}
 
 _PARTS = "SELECT 0 AS script_rank, 'kana' AS script, p_name AS key, p_partkey AS seq_id FROM part UNION ALL SELECT 1, 'kanji', p_brand, p_partkey FROM part UNION ALL SELECT 2, 'romaji', p_type, p_partkey FROM part"
@@ -309,6 +377,11 @@ _PREFIX = f"WITH {_KEYS}, {_CUT}, pairs AS (SELECT * FROM terms JOIN keys ON sta
 _FUZZY_SCORE = "CASE WHEN key = term THEN 1.0::DOUBLE ELSE greatest(0.5::DOUBLE - abs(greatest(length(key), 1)::DOUBLE - greatest(length(term), 1)::DOUBLE) / (greatest(length(key), 1)::DOUBLE + greatest(length(term), 1)::DOUBLE) * 0.2::DOUBLE, 0.1::DOUBLE) END"
 _FUZZY_KIND = "CASE WHEN key = term THEN 'Exact' ELSE 'Fuzzy' END"
 
+_FORMS = """SELECT 'kana' AS script, p_name AS key, p_partkey AS seq_id FROM part UNION ALL SELECT 'kanji', p_brand, p_partkey FROM part
+    UNION ALL (SELECT DISTINCT 'romaji', lower(k), p_partkey FROM (SELECT p_name AS k, p_partkey FROM part UNION ALL SELECT p_brand, p_partkey FROM part))"""
+_ENTRY_KEYS = f"keys AS (SELECT CASE script WHEN 'kana' THEN 0 WHEN 'kanji' THEN 1 ELSE 2 END AS script_rank, script, key, min(seq_id) AS seq_id FROM ({_FORMS}) GROUP BY ALL)"
+_ENTRY_PREFIX = "WITH pairs AS (SELECT * FROM terms JOIN keys ON starts_with(key, term)), " + _ranked("pairs", "CASE WHEN key = term THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END", "CASE WHEN key = term THEN 'Exact' ELSE 'Prefix' END")
+
 ORACLES = {
     "gloss_and": f"""WITH {_POSTINGS}, df AS (SELECT token, count(*) AS df FROM postings GROUP BY token),
         asked AS (SELECT pos, list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(term, '[^A-Za-z0-9]+'), lambda x: lower(x)), lambda x: x <> ''))) AS ts FROM {_values(list(enumerate(GLOSS_QUERIES)), 'pos, term')}),
@@ -331,18 +404,36 @@ ORACLES = {
     "glosses_by_language": "SELECT l_orderkey, coalesce(string_agg(l_linestatus || l_linenumber, '/' ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag = 'N'), '') AS glosses, first(l_linestatus || l_linenumber ORDER BY l_linenumber, l_linestatus) AS first_gloss FROM lineitem GROUP BY l_orderkey",
     "first_seen_distinct": "SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY n, l_returnflag) AS flags FROM (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS n FROM lineitem GROUP BY ALL) GROUP BY l_orderkey",
     "xref_resolve": "SELECT r_name AS term, n_name AS reading, r_regionkey::BIGINT AS seq_id, 1.0::DOUBLE AS score FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT r_name, NULL, r_regionkey, 1.0 FROM region",
-    "by_id": "SELECT l_orderkey, l_linenumber, p_partkey AS seq_id, 1.0::DOUBLE AS score FROM lineitem JOIN part ON l_partkey = p_partkey",
-    "page_range": "SELECT p_partkey, p_name FROM part WHERE p_partkey BETWEEN 50 AND 74",
-    "point_get": "SELECT p_partkey, p_name FROM part WHERE p_partkey = 42",
-    "full_scan": "SELECT p_partkey, p_name, p_brand, p_type FROM part",
-    "scan_count": "SELECT count(*) AS n FROM lineitem",
-    "value_contains": "SELECT p_partkey FROM part WHERE contains(p_type, 'ASS') OR contains(p_type, 'tin')",
-    "kana_to_hiragana": f"SELECT * FROM {_values([('neko', 'ねこ'), ('ネコ', 'ねこ'), ('ねこ', 'ねこ'), ('kyou', 'きょう'), ('gakkou', 'がっこう'), ('itte', 'いって'), ('ittte', 'いっって'), ('itt', 'いっt'), ('durai', 'づらい'), ('shinbun', 'しんぶん'), ('きょう', 'きょう'), ('いって', 'いって'), ('しゅみ', 'しゅみ'), ('たべる', 'たべる'), ('にほん', 'にほん'), ('がっこう', 'がっこう'), ('', '')], 'word, hiragana')}",
-    "kana_to_katakana": f"SELECT * FROM {_values([('neko', 'ネコ'), ('ネコ', 'ネコ'), ('ねこ', 'ネコ'), ('kyou', 'キョウ'), ('gakkou', 'ガッコウ'), ('itte', 'イッテ'), ('ittte', 'イッッテ'), ('itt', 'イッt'), ('durai', 'ヅライ'), ('shinbun', 'シンブン'), ('きょう', 'キョウ'), ('いって', 'イッテ'), ('しゅみ', 'シュミ'), ('たべる', 'タベル'), ('にほん', 'ニホン'), ('がっこう', 'ガッコウ'), ('', '')], 'word, katakana')}",
-    "kana_to_romaji": f"SELECT * FROM {_values([('neko', 'neko'), ('ネコ', 'neko'), ('ねこ', 'neko'), ('kyou', 'kyou'), ('gakkou', 'gakkou'), ('itte', 'itte'), ('ittte', 'iっtte'), ('itt', 'iっt'), ('durai', 'zurai'), ('shinbun', 'shinbun'), ('きょう', 'kyou'), ('いって', 'itte'), ('しゅみ', 'shumi'), ('たべる', 'taberu'), ('にほん', 'nihon'), ('がっこう', 'gakkou'), ('', '')], 'word, romaji')}",
+    "source_entries": """SELECT p_partkey AS seq_id, p_partkey::VARCHAR AS id, p_brand AS headword, p_name AS kana, p_size > 25 AS is_common,
+        p_brand || '/-/-;' || p_brand || '/' || p_name || '/-;' || p_name || '/-/' || p_size || ';' || p_brand || '/' || p_name || '/2;/-/-' AS related, p_name || ', ' || p_type AS gloss FROM part""",
+    "surface_forms": f"SELECT script, key, seq_id FROM ({_FORMS})",
+    "full_scan": "SELECT p_partkey AS seq_id, p_partkey::VARCHAR AS id, p_brand AS headword, p_name AS kana FROM part",
+    "page_range": "SELECT p_partkey AS seq_id, p_partkey::VARCHAR AS id, p_name AS kana FROM part WHERE p_partkey BETWEEN 50 AND 74",
+    "point_get": "SELECT p_partkey AS seq_id, p_name AS kana FROM part WHERE p_partkey = 42",
+    "scan_count": "SELECT count(*) AS n FROM part",
+    "by_id": "SELECT l_orderkey * 10 + l_linenumber AS pos, 0::BIGINT AS ord, p_partkey AS seq_id, 'Exact' AS match_type, p_partkey::VARCHAR AS match_key, 1.0::DOUBLE AS score, p_partkey::VARCHAR AS id, p_name AS kana FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "lookup_filtered": f"WITH {_ENTRY_KEYS}, {_CUT}, found AS ({_ENTRY_PREFIX}) SELECT pos, ord, seq_id, match_type, match_key, score, seq_id::VARCHAR AS id FROM found JOIN part ON p_partkey = seq_id WHERE p_size > 25 AND (contains(p_type, 'ECON') OR contains(p_type, 'SMALL')) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY ord) <= 2",
+    "lookup_grouped": f"""WITH {_ENTRY_KEYS}, terms AS (SELECT p_partkey::BIGINT AS pos, p_name AS term FROM part UNION ALL SELECT -1 - n_nationkey, n_name FROM nation),
+        hits AS (SELECT DISTINCT pos, seq_id FROM terms JOIN keys ON key = term)
+        SELECT pos, term, count(seq_id)::INT AS n, coalesce(string_agg(seq_id::VARCHAR, ',' ORDER BY seq_id), '') AS ids FROM terms LEFT JOIN hits USING (pos) GROUP BY pos, term""",
+    "lookup_single": f"WITH {_ENTRY_KEYS}, terms AS (SELECT 0 AS pos, 'red w' AS term), found AS ({_ENTRY_PREFIX}) SELECT ord, seq_id, match_type, match_key, score, seq_id::VARCHAR AS id FROM found WHERE ord < 5",
+    "xref_lookup": f"""WITH {_ENTRY_KEYS}, asked AS (SELECT 2 * p_partkey AS pos, p_brand AS term, p_name AS reading FROM part UNION ALL SELECT 2 * p_partkey + 1, p_brand, NULL FROM part),
+        hits AS (SELECT DISTINCT pos, reading, seq_id FROM asked JOIN keys ON key = term), ranked AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY seq_id) - 1 AS ord FROM hits)
+        SELECT pos, ord, seq_id, 'Exact' AS match_type, 1.0::DOUBLE AS score, seq_id::VARCHAR AS id FROM ranked JOIN part ON p_partkey = seq_id WHERE reading IS NULL OR reading = p_name""",
+    "gloss_lookup": """WITH postings AS (SELECT DISTINCT p_partkey AS seq_id, lower(t) AS token FROM (SELECT p_partkey, unnest(regexp_split_to_array(p_name || ', ' || p_type, '[^A-Za-z0-9]+')) AS t FROM part) WHERE t <> ''),
+        df AS (SELECT token, count(*) AS df FROM postings GROUP BY token),
+        asked AS (SELECT DISTINCT lower(p_type) || ' ' || p_name AS term FROM part),
+        wanted AS (SELECT DISTINCT term, lower(t) AS token FROM (SELECT term, unnest(regexp_split_to_array(term, '[^A-Za-z0-9]+')) AS t FROM asked) WHERE t <> ''),
+        per AS (SELECT term, count(*) AS n, sum(df) AS s, string_agg(token, ' ' ORDER BY token) AS match_key FROM wanted JOIN df USING (token) GROUP BY term),
+        hits AS (SELECT term, seq_id, count(*) AS c FROM wanted JOIN postings USING (token) GROUP BY ALL)
+        SELECT term, row_number() OVER (PARTITION BY term ORDER BY seq_id) - 1 AS ord, seq_id, 'Gloss' AS match_type, match_key, least(0.6::DOUBLE, 0.3::DOUBLE + n::DOUBLE / s::DOUBLE) AS score, seq_id::VARCHAR AS id FROM hits JOIN per USING (term) WHERE c = n""",
+    "value_contains": "SELECT p_partkey FROM part WHERE contains(p_type, 'ECO') OR contains(p_type, 'MALL') OR contains(p_type, 'small')",
+    "kana_to_hiragana": f"SELECT * FROM {_values([('neko', 'ねこ'), ('ネコ', 'ねこ'), ('ねこ', 'ねこ'), ('kyou', 'きょう'), ('gakkou', 'がっこう'), ('itte', 'いって'), ('ittte', 'いっって'), ('itt', 'いっt'), ('durai', 'づらい'), ('shinbun', 'しんぶん'), ('きょう', 'きょう'), ('いって', 'いって'), ('しゅみ', 'しゅみ'), ('たべる', 'たべる'), ('にほん', 'にほん'), ('がっこう', 'がっこう'), ('xtsu', 'っ'), ('ltsu', 'っ'), ('mixtsuka', 'みっか'), ('', '')], 'word, hiragana')}",
+    "kana_to_katakana": f"SELECT * FROM {_values([('neko', 'ネコ'), ('ネコ', 'ネコ'), ('ねこ', 'ネコ'), ('kyou', 'キョウ'), ('gakkou', 'ガッコウ'), ('itte', 'イッテ'), ('ittte', 'イッッテ'), ('itt', 'イッt'), ('durai', 'ヅライ'), ('shinbun', 'シンブン'), ('きょう', 'キョウ'), ('いって', 'イッテ'), ('しゅみ', 'シュミ'), ('たべる', 'タベル'), ('にほん', 'ニホン'), ('がっこう', 'ガッコウ'), ('xtsu', 'ッ'), ('ltsu', 'ッ'), ('mixtsuka', 'ミッカ'), ('', '')], 'word, katakana')}",
+    "kana_to_romaji": f"SELECT * FROM {_values([('neko', 'neko'), ('ネコ', 'neko'), ('ねこ', 'neko'), ('kyou', 'kyou'), ('gakkou', 'gakkou'), ('itte', 'itte'), ('ittte', 'iっtte'), ('itt', 'iっt'), ('durai', 'zurai'), ('shinbun', 'shinbun'), ('きょう', 'kyou'), ('いって', 'itte'), ('しゅみ', 'shumi'), ('たべる', 'taberu'), ('にほん', 'nihon'), ('がっこう', 'gakkou'), ('xtsu', 'っ'), ('ltsu', 'っ'), ('mixtsuka', 'mikka'), ('', '')], 'word, romaji')}",
     "script_tests": f"""SELECT word, regexp_full_match(word, '[\\x{{3040}}-\\x{{309F}}]') AS hiragana, regexp_full_match(word, '[\\x{{30A0}}-\\x{{30FF}}]') AS katakana, regexp_full_match(word, '[\\x{{4E00}}-\\x{{9FFF}}]') AS kanji,
         regexp_full_match(word, '[\\x{{3040}}-\\x{{309F}}]*') AS kana_word, regexp_full_match(word, '[\\x{{30A0}}-\\x{{30FF}}]+') AS katakana_word, regexp_full_match(word, '[\\x{{4E00}}-\\x{{9FFF}}]*') AS kanji_word FROM {_values([(w,) for w in SCRIPT_ROWS], 'word')}""",
     "deinflect_forms": f"SELECT inflected, base, word_type::INT AS word_type, reasons FROM {_values(DEINFLECTIONS, 'inflected, base, word_type, reasons')}",
-    "deinflect_batch": f"SELECT pos::BIGINT AS pos, 'Deinflected' AS match_type, 0.75::DOUBLE AS score, term AS original_form FROM {_values([(k, r[0]) for k, r in enumerate(DEINFLECTIONS)], 'pos, term')} UNION ALL SELECT 100, 'Exact', 1.0, NULL",
+    "deinflect_batch": f"SELECT pos::BIGINT AS pos, 0::BIGINT AS ord, 'Deinflected' AS match_type, base AS match_key, 0.75::DOUBLE AS score, term AS original_form FROM {_values([(k, r[0], r[1]) for k, r in enumerate(DEINFLECTIONS)], 'pos, term, base')} UNION ALL SELECT 100, 0, 'Exact', '走る', 1.0, NULL",
     "stream_exact": f"WITH {_KEYS} SELECT DISTINCT p_partkey AS pos, p_name AS term, seq_id FROM part JOIN keys ON key = p_name",
 }

@@ -33,8 +33,20 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("seq_id").cast("bigint"), "w.id", "w.kanji", "w.kana", F.transform("w.sense", _sense).alias("sense"))
 
 
-def read_entry_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same from JSON lines, one entry each with its seq_id; splits over many tasks, for large sources."""
+def _line_type(spark: SparkSession):
     entry = SOURCE.removeprefix("words array<struct<").removesuffix(">>").replace("id:string", "seq_id:bigint,id:string", 1)
-    raw = spark.read.schema(spark.createDataFrame([], f"w struct<{entry}>").schema["w"].dataType).json(path)
+    return spark.createDataFrame([], f"w struct<{entry}>").schema["w"].dataType
+
+
+def _clean(raw: DataFrame) -> DataFrame:
     return raw.select("seq_id", "id", "kanji", "kana", F.transform("sense", _sense).alias("sense"))
+
+
+def read_entry_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from JSON lines, one entry each with its seq_id; splits over many tasks, for large sources."""
+    return _clean(spark.read.schema(_line_type(spark)).json(path))
+
+
+def parse_entry_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The same from a column of such JSON texts."""
+    return _clean(lines.select(F.from_json(column, _line_type(lines.sparkSession)).alias("w")).select("w.*"))
