@@ -46,8 +46,14 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_q_t", t).withColumn("_q_w", words_of(F.col("_q_t")))
     df = df.withColumn("_q_h", F.expr("case when size(_q_w) >= 3 then transform(slice(_q_w, 1, size(_q_w) - 2), (w, i) -> xxhash64(w, get(_q_w, i + 1), get(_q_w, i + 2))) else cast(array() as array<bigint>) end"))
-    df = df.withColumn("_q_s", F.expr("case when size(array_distinct(_q_h)) < size(_q_h) then sort_array(transform(_q_h, (h, i) -> named_struct('h', h, 'w', array(_q_w[i], _q_w[i + 1], _q_w[i + 2]), 'p', i))) else cast(array() as array<struct<h:bigint,w:array<string>,p:int>>) end"))
-    df = df.withColumn("_q_p", F.expr("sort_array(transform(filter(_q_s, (e, k) -> (e.h = get(_q_s, k - 1).h and e.w = get(_q_s, k - 1).w) or (e.h = get(_q_s, k + 1).h and e.w = get(_q_s, k + 1).w)), e -> e.p))"))
+    # Positions in the order of their windows' hashes; those beside an equal hash repeat, if the words are equal too.
+    df = df.withColumn("_q_s", F.expr("case when size(array_distinct(_q_h)) < size(_q_h) then sort_array(transform(_q_h, (h, i) -> named_struct('h', h, 'p', i))) else cast(array() as array<struct<h:bigint,p:int>>) end"))
+    words = " and ".join(f"_q_w[e.p + {i}] = _q_w[_q_s[k - 1].p + {i}]" for i in range(3))
+    df = df.withColumn("_q_c", F.expr(f"size(filter(_q_s, (e, k) -> k > 0 and e.h = get(_q_s, k - 1).h and not ({words}))) > 0"))
+    beside = "sort_array(transform(filter(_q_s, (e, k) -> e.h = get(_q_s, k - 1).h or e.h = get(_q_s, k + 1).h), e -> e.p))"
+    window = "array(_q_w[i], _q_w[i + 1], _q_w[i + 2])"  # where hashes collide, the windows themselves are compared
+    apart = f"filter(sequence(0, size(_q_h) - 1), i -> size(filter(sequence(0, size(_q_h) - 1), j -> _q_h[i] = _q_h[j] and {window} = array(_q_w[j], _q_w[j + 1], _q_w[j + 2]))) > 1)"
+    df = df.withColumn("_q_p", F.expr(f"case when _q_c then {apart} else {beside} end"))
     df = df.withColumn("_q_l", F.filter(F.split("_q_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = {
         "n_words": F.size("_q_w"),
