@@ -10,12 +10,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, bounded_batches, nested, written
 from .components import component_labels
-from .simhash import shingle_hashes
 
 #: Longs of a fingerprint; each has eight byte positions.
 LANES = 4
@@ -31,21 +31,48 @@ BLOCK = 2048
 BROADCAST_ROWS = 500_000
 
 
+#: Added to a shingle's hash before it is mixed, one for each lane.
+STEPS = np.array([(0x9E3779B97F4A7C15 * (lane + 1)) % 2**64 for lane in range(LANES)], np.uint64)
+
+
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """LANES longs: majority bits over distinct shingle hashes, mixed anew for each lane; no hashes: 0."""
-    counts = np.zeros((LANES, 64), np.int64)
-    for at in range(0, len(hashes), 16384):
-        for lane in range(LANES):
-            z = hashes[at : at + 16384] + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) % 2**64)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z = z ^ (z >> np.uint64(31))
-            counts[lane] += np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), axis=1).reshape(-1).view(np.int64)
+    counts = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        z = hashes[at : at + 255, None] + STEPS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+        counts += np.add.reduce(np.unpackbits(z.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes)).view(np.int64)
+
+
+class _WordHashes(dict):
+    """XXH64 of words, remembered; starts anew beyond a million of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_HASHES = _WordHashes()
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
+    """Distinct hashes of the word shingles, A-Z in lower case: polynomials of the words' hashes modulo 2 ** 64. A shorter
+    text is one shingle; without words there is none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
+    size = min(shingle, len(words))
+    if not size:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = out * np.uint64(0x9FB21C651E98DF25) + each[i : n + i]
+    return np.unique(out)
 
 
 def fingerprints(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataFrame:
@@ -68,12 +95,13 @@ def fingerprints(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataF
 
 def postings(nodes: DataFrame) -> DataFrame:
     """_key and _node: the inverted index. A key is three byte positions of one lane with their bytes."""
-    triples = [t for lane in range(LANES) for t in combinations(range(8 * lane, 8 * lane + 8), 3)]
-    column = lambda k: f"array({', '.join(str(t[k]) for t in triples)})"
-    data = F.array(*[F.shiftrightunsigned(F.col(WORDS[p // 8]), 8 * (p % 8)).bitwiseAND(F.lit(255)).cast("int") for p in range(8 * LANES)])
-    key = f"shiftleft(k - {len(triples) // 2}, 24) | shiftleft(_bytes[{column(0)}[k]], 16) | shiftleft(_bytes[{column(1)}[k]], 8) | _bytes[{column(2)}[k]]"
-    keys = F.expr(f"transform(sequence(0, {len(triples) - 1}), k -> {key})")
-    return nodes.withColumn("_bytes", data).select("_node", F.explode(keys).alias("_key"))
+    triples = list(combinations(range(8), 3))
+    lanes = F.array(*[F.struct(F.lit(len(triples) * (2 * i - LANES) // 2).alias("k"), F.col(w).alias("w")) for i, w in enumerate(WORDS)])
+    rows = nodes.select("_node", F.inline(lanes))
+    rows = rows.select("_node", "k", *[F.shiftrightunsigned("w", 8 * p).bitwiseAND(F.lit(255)).cast("int").alias(f"_b{p}") for p in range(8)])
+    byte = lambda p: F.col(f"_b{p}")
+    keys = [F.shiftleft(F.col("k") + j, 24).bitwiseOR(F.shiftleft(byte(p), 16)).bitwiseOR(F.shiftleft(byte(q), 8)).bitwiseOR(byte(r)) for j, (p, q, r) in enumerate(triples)]
+    return rows.select("_node", F.explode(F.array(*keys)).alias("_key"))
 
 
 def differing_bits(a: str, b: str) -> Column:
@@ -198,6 +226,16 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return written(rows.filter((F.col("_all") == 0) | (F.col("_both") >= F.lit(similarity) * F.col("_all"))).select("_a", "_b"), "links")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (_node, _label) after links (_a, _b) between nodes of different components: only components are linked anew."""
+    of = lambda x: labels.select(F.col("_node").alias(x), F.col("_label").alias(f"_of{x}"))
+    ends = written(links.join(of("_a"), "_a", "left").join(of("_b"), "_b", "left").select("_a", "_b", F.coalesce("_of_a", "_a").alias("_x"), F.coalesce("_of_b", "_b").alias("_y")), "ends")
+    new = written(component_labels(ends.select(F.col("_x").alias("_a"), F.col("_y").alias("_b"))).select(F.col("_node").alias("_old"), F.col("_label").alias("_new")), "merged")
+    own = ends.select(F.explode(F.array(F.struct(F.col("_a").alias("_node"), F.col("_x").alias("_label")), F.struct(F.col("_b").alias("_node"), F.col("_y").alias("_label")))).alias("e")).select("e.*")
+    every = labels.unionByName(own).distinct()
+    return every.join(new, F.col("_label") == F.col("_old"), "left").select("_node", F.coalesce("_new", "_label").alias("_label"))
+
+
 def similar_groups(docs: DataFrame, text: str, doc_id: str, shingle: int, similarity: float) -> DataFrame:
     """_id, _node and _component (a node's hash) of each row; a written table.
 
@@ -212,19 +250,21 @@ def similar_groups(docs: DataFrame, text: str, doc_id: str, shingle: int, simila
     ends = pairs.select("_a", "_b", "_bits", F.explode(F.array("_a", "_b")).alias("_end"))
     nearest = ends.groupBy("_end").agg(F.min(F.struct("_bits", "_a", "_b")).alias("_m")).select("_m._a", "_m._b").distinct()
     tried = nearest = written(nearest, "nearest")
-    links = verified(nearest, sets, similarity)
-    labels = written(component_labels(links), "labels")
+    labels = written(component_labels(verified(nearest, sets, similarity)), "labels")
     for step in ("candidates", "dense"):
         name = lambda x, labels=labels: labels.select(F.col("_node").alias(x), F.col("_label").alias(f"_of{x}"))
         if step == "dense":
+            if dense.isEmpty():
+                break
             of = dense.join(name("_node"), "_node", "left").withColumn("_of", F.coalesce("_of_node", "_node")).drop("_of_node")
             mixed = of.groupBy("_key").agg(F.min("_of").alias("_x"), F.max("_of").alias("_y")).filter("_x <> _y").select("_key")
             pairs = written(in_blocks(of.join(mixed, "_key", "left_semi"), crossing_pairs).select("_a", "_b").distinct(), "crossing")
             sets = shingle_sets(docs, text, shingle, pairs)
         rest = pairs.select("_a", "_b").join(tried, ["_a", "_b"], "left_anti").join(name("_a"), "_a", "left").join(name("_b"), "_b", "left")
         rest = written(rest.filter(F.coalesce("_of_a", "_a") != F.coalesce("_of_b", "_b")).select("_a", "_b"), "rest")
-        links, tried = links.unionByName(verified(rest, sets, similarity)), tried.unionByName(rest)
-        labels = written(component_labels(links), "labels")
+        links, tried = verified(rest, sets, similarity), tried.unionByName(rest)
+        if not links.isEmpty():
+            labels = written(merged(labels, links), "labels")
     return written(rows.select("_id", "_node").join(labels, "_node", "left").select("_id", "_node", F.coalesce("_label", "_node").alias("_component")), "groups")
 
 

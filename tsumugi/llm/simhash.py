@@ -52,10 +52,9 @@ def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> list[i
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """64 majority bits over the hashes of all word shingles, repeats included; no words: 0."""
     hashes = shingle_hashes(text, shingle, seed)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = np.array(hashes[at : at + 65536], dtype=">u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    counts, given = np.zeros(64, np.int64), np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        counts += np.add.reduce(np.unpackbits(given[at : at + 255], axis=1), axis=0, dtype=np.uint8)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
