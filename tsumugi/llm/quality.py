@@ -183,4 +183,44 @@ def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts by score_quality(); nulls, empty texts, repeated rows and empty tables as said there."""
     df = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     base = [F.col(f"_q_{m}").alias(m) for m in MEASURES[:5]]
-    return df.select("doc_id", *base, F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_posterior").alias("posterior"))
+    return df.select("doc_id", *base, F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.round("_q_posterior", 6).alias("posterior"))
+
+
+def _sql() -> str:
+    """The same in DuckDB SQL, for documents with distinct ids: EM is a recursive query over the vote patterns."""
+    n, (good, bad) = len(RULES), EXPECTED
+    votes = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END" for r in RULES)
+    odds = "ln(prior / (1 - prior)) + list_sum(list_transform(range(1, {0} + 1), lambda k: ln(good[3 * k - 1 + v[k]] / bad[3 * k - 1 + v[k]])))".format(n)
+    part = lambda weight, expected, held, k, j: f"({held} * {expected[j + 1]}::DOUBLE + coalesce(sum({weight} * c) FILTER (v[{k}] = {j}), 0))"
+    table_ = lambda weight, expected, held: "[" + ", ".join(f"{part(weight, expected, held, k, j)} / ({' + '.join(part(weight, expected, held, k, i) for i in (-1, 0, 1))})" for k in range(1, n + 1) for j in (-1, 0, 1)) + "]"
+    start = lambda e: "[" + ", ".join(f"{x}::DOUBLE" for _ in range(n) for x in e) + "]"
+    return f"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+lined AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM texts),
+grams AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM texts)),
+twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;"'')\\]][\\x20\\x09-\\x0D]*$'))) AS n_ended, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS n_letters,
+         len(regexp_extract_all(t, '[#*$%&|<>]+')) AS n_symbol_runs
+  FROM lined LEFT JOIN repeats USING (doc_id)),
+voted AS MATERIALIZED (SELECT *, [{votes}] AS v FROM measured),
+patterns AS MATERIALIZED (SELECT v, count(*)::DOUBLE AS c, sum(count(*)) OVER ()::DOUBLE AS n FROM voted GROUP BY v),
+em AS (
+  SELECT 0 AS r, 0.8::DOUBLE AS prior, {start(good)} AS good, {start(bad)} AS bad, 1::DOUBLE AS moved
+  UNION ALL
+  SELECT r + 1, next, new_good, new_bad, abs(next - prior) FROM (
+    SELECT r, prior, (0.8 * {STRENGTH} * n + sum(q * c)) / (n + {STRENGTH} * n) AS next,
+           {table_("q", good, f"{STRENGTH} * 0.8 * n")} AS new_good, {table_("(1 - q)", bad, f"{STRENGTH} * 0.2 * n")} AS new_bad
+    FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS q FROM em, patterns WHERE r < 300 AND moved >= 1e-10) GROUP BY r, prior, n)),
+model AS (SELECT * FROM em ORDER BY r DESC LIMIT 1),
+judged AS (SELECT v AS pattern, 1 / (1 + exp(-({odds}))) AS q FROM model, patterns)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND q >= 0.5 AS kept, round(q, 6) AS posterior
+FROM voted JOIN judged ON pattern = v
+"""
+
+
+OP2_SQL = _sql()
