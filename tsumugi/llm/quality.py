@@ -145,13 +145,13 @@ def fit_votes(histogram: list[tuple[tuple[int, ...], int]], rounds: int = 300, s
     return model
 
 
-def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep_text: bool = True, base_rule: bool = True) -> DataFrame:
+def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep_text: bool = True, least_words: int = 50) -> DataFrame:
     """docs with ``_q_<measure>``, ``_q_votes`` (array of -1, 0, 1), ``_q_posterior``, ``_q_base_failed`` and ``_q_kept``.
 
     The texts are measured once and written to the shared folder; the vote histogram over all
     documents (at most 3 ** rules rows) goes to the driver, EM fits it, and the posterior is one
-    arithmetic expression. ``_q_kept`` is posterior >= threshold and a word or more, and with base_rule not the base rule's
-    failure (under 50 words, or over half of the words in repeated three-word windows) either.
+    arithmetic expression. ``_q_kept`` is posterior >= threshold and not the base rule's
+    failure (under least_words words, or over half of the words in repeated three-word windows).
     Null and empty texts: all votes abstain, base failed, not kept. An empty table gives an empty
     table. Repeated rows are scored alike; long texts are measured whole. Other columns pass through, and where one has
     the name of an added column, the added one has an underscore more; keep_text=False drops the text.
@@ -166,17 +166,17 @@ def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     counted = df.groupBy("_q_votes").count().collect()
     model = fit_votes([(tuple(r["_q_votes"]), r["count"]) for r in counted])
     votes = [F.get("_q_votes", F.lit(i)) for i in range(len(rules))]
-    failed = (F.col("_q_n_words") < 50) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
+    failed = (F.col("_q_n_words") < least_words) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
     df = df.withColumn("_q_posterior", 1 / (1 + F.exp(-model.log_odds(votes)))).withColumn("_q_base_failed", failed)
-    fit = (F.col("_q_n_words") > 0) & (F.col("_q_posterior") >= threshold)
-    df = df.withColumn("_q_kept", fit & ~F.col("_q_base_failed") if base_rule else fit)
+    df = df.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_posterior") >= threshold))
     return df.select("_row.*", *[F.col(a).alias(b) for a, b in zip(names, added, strict=True)])
 
 
-def keep_good(docs: DataFrame, text: str = "text", base_rule: bool = False) -> DataFrame:
-    """The documents that score_quality keeps, by the posterior alone unless base_rule, with the columns they came with."""
+def keep_good(docs: DataFrame, text: str = "text", least_words: int = 1) -> DataFrame:
+    """The documents that score_quality keeps, with the columns they came with. Short ones are judged like others, by the
+    posterior; texts without words go."""
     kept = free_names(docs, "_q_kept")[0]
-    return score_quality(docs, text, base_rule=base_rule).filter(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score_quality(docs, text, least_words=least_words).filter(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
