@@ -18,10 +18,8 @@ from tsumugi.llm.quality import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-supervision posterior calls good; the base rule of all-must-pass filtering plays no part.
-
-    Texts without words (null, empty, blank) go. Repeated rows are judged alike; no documents: none.
-    """
+    """Documents that the weak-supervision posterior calls good, of any length; those with over half of their words in repeated
+    windows go, and so do texts without words (null, empty, blank). Repeated rows are judged alike; no documents: none."""
     return keep_good(docs)
 
 
