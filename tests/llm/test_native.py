@@ -234,7 +234,20 @@ def test_license_spans(spark):
     assert licenses.scan_licenses(H.frame(spark).limit(0)).count() == 0
 
 
-def test_native_plans_hold_no_python(spark, folder):
+def test_native_plans_hold_no_python(spark, folder, monkeypatch):
+    """Neither the results' plans nor those of the tables written on the way."""
+    from tsumugi.llm import common
+
+    plans = []
+
+    def spy(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return common.written(df, name)
+
+    for module in (quality, exact, mixing, licenses):
+        monkeypatch.setattr(module, "written", spy)
     for f in (quality.op2_weak_quality, exact.op6_exact_dedup, mixing.op3_poisson_mix, licenses.op8_license_diagonals):
-        plan = f(spark, folder)._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("Python|Pandas|Arrow(?!ToRow)", plan), f.__name__
+        plans.append((f.__name__, f(spark, folder)._jdf.queryExecution().executedPlan().toString()))
+    assert len(plans) > 8
+    for name, plan in plans:
+        assert not re.search("Python|Pandas|Arrow(?!ToRow)", plan), name

@@ -26,3 +26,15 @@ def test_names():
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_scratch_goes_stage_by_stage(spark, tmp_path):
+    """Of all that run() wrote, the documents before packing and the packer's own tables are left."""
+    import os
+
+    from tsumugi.llm import common
+
+    folder, before = H.write_tables(spark, tmp_path, H.rows()[:20]), len(common.MADE)
+    corpus_pipeline.run(spark, folder).collect()
+    left = [os.path.basename(p).rpartition("-")[0] for p in common.MADE[before:] if os.path.exists(p.removeprefix("file:"))]
+    assert left[0] == "mix_sources" and set(left[1:]) == {"pieces"}

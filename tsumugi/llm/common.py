@@ -39,8 +39,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tsumugi/{spark.sparkContext.applicationId}"
 
 
+#: Paths of the scratch tables that this process made, in order.
+MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -53,6 +58,12 @@ def drop_scratch(spark: SparkSession) -> None:
     drop_path(spark, scratch_dir(spark))
 
 
+def drop_made(spark: SparkSession, first: int, end: int) -> None:
+    """Deletes the scratch tables made from the first to before the end (places in MADE); nothing lazy may still read them."""
+    for path in MADE[first:end]:
+        drop_path(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
     path = new_path(df.sparkSession, name)
