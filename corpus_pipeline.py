@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tsumugi.llm.common import table, written
+from tsumugi.llm.common import MADE, drop_made, table, written
 from tsumugi.llm.exact import drop_exact
 from tsumugi.llm.mixing import mix
 from tsumugi.llm.near import drop_similar
@@ -58,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's pieces. Each stage's documents are written; then the tables it made on the way, and the documents of
+    the stage before, are deleted. No documents: no pieces."""
+    docs, before = table(spark, sf_dir, "documents"), len(MADE)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name)  # the last table made
+        drop_made(spark, before, len(MADE) - 1)
+        before = len(MADE) - 1
     return STAGES[-1][1](spark, docs, sf_dir)
