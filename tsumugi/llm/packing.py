@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, written
+from .common import HOT_SHARE, bounded_batches, table, written
 from .tokens import encoded
 
 #: Rows of one length ranked by one task; more lengths or rows only make more tasks.
 RANKED = 5_000
-#: Tasks that number the copies of one piece.
+#: Tasks that number the copies of a piece that has very many.
 DEALS = 64
 
 
@@ -178,16 +178,19 @@ def ranked(pieces: DataFrame) -> DataFrame:
     """pieces with _rank: 0, 1, ... within each length; pieces must be a written table, with a unique _serial.
 
     Neighbouring ranks share a sequence where a pattern has a length more than once, so copies (equal
-    _id, _piece, _crc) must not be neighbours. Each copy gets a level of its own; ranks go level by
-    level, and within a level by a hash. A length, or the copies of one piece, may be a third of all
-    rows: rows are dealt by hash into groups of about RANKED, copies into DEALS, each numbered by itself.
+    _id, _piece, _crc) must not be neighbours: all first copies are ranked, then all second ones, each time in the
+    order of a hash. A length, or the copies of one piece, may be a third of all rows: rows are dealt
+    by hash into groups of about RANKED, and the copies of hot pieces (at most HOT_SHARE) into DEALS, each numbered by itself.
     """
     total = pieces.count()
-    deal = max(1, -(-total // (RANKED * DEALS)))
-    hashed = F.xxhash64("_id", "_piece", "_crc", "_serial", F.lit(9))
-    rows = pieces.withColumn("_salt", F.pmod(F.xxhash64("_serial"), F.lit(DEALS)))
+    deal = max(1, -(-total // RANKED))
+    counts = pieces.groupBy("_id", "_piece", "_crc").agg(F.count("*").alias("_n"))
+    hot = written(counts.filter((F.col("_n") > RANKED) & (F.col("_n") * HOT_SHARE > total)).select(F.col("_id").alias("_i"), F.col("_piece").alias("_p"), F.col("_crc").alias("_c")), "hot-pieces")
+    met = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_piece") == F.col("_p")) & (F.col("_crc") == F.col("_c"))
+    salt = F.when(F.col("_c").isNull(), 0).otherwise(F.pmod(F.xxhash64("_serial"), F.lit(DEALS)))
+    rows = pieces.join(F.broadcast(hot), met, "left").withColumn("_salt", salt)
     twin = F.row_number().over(Window.partitionBy("_id", "_piece", "_crc", "_salt").orderBy("_serial"))
-    rows = rows.withColumn("_level", (twin - 1) * DEALS + F.col("_salt")).withColumn("_h", hashed).withColumn("_group", F.pmod("_h", F.lit(deal)))
+    rows = rows.withColumn("_level", (twin - 1) * DEALS + F.col("_salt")).withColumn("_h", F.xxhash64("_id", "_piece", "_crc", F.lit(9))).withColumn("_group", F.pmod("_h", F.lit(deal)))
     sizes = rows.groupBy("_length", "_level", "_group").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_length").orderBy("_level", "_group")) - F.col("_n")).drop("_n")
     own = F.row_number().over(Window.partitionBy("_length", "_level", "_group").orderBy("_h", "_serial"))
