@@ -24,9 +24,9 @@ WORDS = [f"_w{i}" for i in range(LANES)]
 #: At similarity 0.8 a byte is shared with probability 0.27 or more and some 36 bits differ, give or take 6.
 SHARED, BITS = 4, 50
 #: Fingerprints under one key that are joined pair by pair; denser keys go through in_blocks().
-DENSE = 24
-#: Fingerprints of a dense key compared at once.
-BLOCK = 2048
+DENSE = 2
+#: Fingerprints of a dense key compared at once, rows of other keys that one task compares, and fingerprints indexed by one task.
+BLOCK, TOGETHER, INDEXED = 2048, 20_000, 4_000
 #: Dropped rows up to this number (some 20 bytes each) are broadcast to the filter.
 BROADCAST_ROWS = 500_000
 
@@ -164,35 +164,44 @@ def in_blocks(dense: DataFrame, pick: Callable) -> DataFrame:
     """_a < _b and _bits of what pick(lanes, components) finds among the fingerprints of each dense key.
 
     dense: _key, _n, _node, WORDS, _of. A key's fingerprints are dealt by hash into blocks of about BLOCK, and each pair
-    of blocks is a group of its own, so no task holds more than two blocks, however many share the key.
+    of blocks is a group of its own, so no task holds more than two blocks, however many share the key. Keys of one block
+    are dealt by hash into groups of some TOGETHER rows and taken one after another.
     """
+    deal = max(1, -(-dense.count() // TOGETHER))
     rows = dense.withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: (F.col("_blocks") == 1) | (i != F.col("_own")))
     rows = rows.withColumn("_with", F.explode(others))
-    rows = rows.select("_key", F.least("_own", "_with").alias("_i"), F.greatest("_own", "_with").alias("_j"), "_node", "_of", *WORDS)
+    group = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("_key"), F.lit(deal))).otherwise(F.col("_key").cast("bigint") + (1 << 40))
+    rows = rows.select(group.alias("_g"), "_key", F.least("_own", "_with").alias("_i"), F.greatest("_own", "_with").alias("_j"), "_node", "_of", *WORDS)
 
     def run(t: pa.Table) -> pa.Table:
-        node = t["_node"].to_numpy()
-        lanes = np.ascontiguousarray(np.stack([t[w].to_numpy() for w in WORDS], 1)).view(np.uint64)  # bit counts of signed numbers go by size
-        links = np.array(pick(lanes, t["_of"].to_numpy()), np.int64).reshape(-1, 3)
-        return pa.table({"_a": node[links[:, 0]], "_b": node[links[:, 1]], "_bits": pa.array(links[:, 2], pa.int32())})
+        key, node, of = (t[c].to_numpy() for c in ("_key", "_node", "_of"))
+        lanes = np.stack([t[w].to_numpy() for w in WORDS], 1).view(np.uint64)  # bit counts of signed numbers go by size
+        order = np.argsort(key, kind="stable")
+        found = [np.zeros((0, 3), np.int64)]
+        for own in np.split(order, np.nonzero(np.diff(key[order]))[0] + 1):
+            links = np.array(pick(np.ascontiguousarray(lanes[own]), of[own]), np.int64).reshape(-1, 3)
+            found.append(np.stack([node[own[links[:, 0]]], node[own[links[:, 1]]], links[:, 2]], 1))
+        links = np.concatenate(found)
+        return pa.table({"_a": links[:, 0], "_b": links[:, 1], "_bits": pa.array(links[:, 2].astype(np.int32))})
 
-    found = rows.groupBy("_key", "_i", "_j").applyInArrow(run, "_a bigint, _b bigint, _bits int")
-    return found.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), "_bits")
+    found = rows.groupBy("_g", "_i", "_j").applyInArrow(run, "_a bigint, _b bigint, _bits int")
+    return found.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), "_bits").distinct()
 
 
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """_a < _b and _bits: pairs of nodes that meet under a key and pass the count filter and the bits. And the dense keys' rows.
 
     nodes: a written table of _node and WORDS. Keys of one node are dropped. Pairs under keys of DENSE nodes or fewer are all
-    tallied; of denser keys the pairs hold the links of minimum spanning forests. The few hot keys are met by broadcast.
+    tallied; of denser keys the pairs hold the links of minimum spanning forests. The few hot keys are met by broadcast; the
+    others by a shuffle at any size, as they grow with the documents.
     """
-    index = postings(nodes)
+    index = postings(nodes.repartition(max(1, -(-nodes.count() // INDEXED))))
     sizes = written(index.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1"), "key-sizes")
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     is_hot = F.col("_n") * HOT_SHARE > total
     hot = F.broadcast(sizes.filter(is_hot))
-    cold = index.join(hot.select("_key"), "_key", "left_anti").join(sizes.filter(~is_hot), "_key")
+    cold = index.join(hot.select("_key"), "_key", "left_anti").join(sizes.filter(~is_hot).hint("merge"), "_key")
     met = index.join(hot, "_key").unionByName(cold)
     shared = written(met.join(nodes, "_node"), "shared-keys")
     sparse, dense = shared.filter(F.col("_n") <= DENSE).drop("_n"), shared.filter(F.col("_n") > DENSE)
