@@ -72,3 +72,16 @@ def test_empty_tables(data):
     _, _, k, t = data
     for df in (C.fuzzy(t.limit(0), k, 2), C.prefix(t.limit(0), k), C.exact(t, k.limit(0)), C.deinflected(t, k.limit(0))):
         assert df.count() == 0
+
+
+def test_fuzzy_sends_no_probes_through_the_driver(spark, tmp_path):
+    """A term makes many probes, which the size of its file doesn't show; a batch of few distinct terms asks for each once."""
+    spark.range(20_000).selectExpr("id AS pos", "concat('some word ', id % 7) AS term").write.parquet(str(tmp_path / "terms"))
+    terms = spark.read.parquet(str(tmp_path / "terms"))
+    keys = spark.createDataFrame([(0, "kana", f"some word {i}{i % 2}", 11, i) for i in range(9)], "script_rank int, script string, key string, key_len int, seq_id bigint")
+    pairs = C.fuzzy_pairs(terms, keys, 1)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    want = {(i, k) for i in range(7) for k in range(9) if distance(f"some word {i}", f"some word {k}{k % 2}") <= 1}
+    got = pairs.groupBy("term", "seq_id").count().collect()
+    assert {(int(r["term"][-1]), r["seq_id"]) for r in got} == want
+    assert sum(r["count"] for r in got) == sum(len(range(i, 20_000, 7)) for i, _ in want)

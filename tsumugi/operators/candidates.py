@@ -96,18 +96,22 @@ def fuzzy_pairs(terms: DataFrame, keys: DataFrame, distance: int) -> DataFrame:
     segment), terms list all that could match, and the two meet by equality; the distance is then
     computed for these few pairs, with its threshold. A segment may be empty for keys no longer
     than distance; every term of such a length is then a candidate, and nearly all are results.
+
+    Each distinct term is looked up once. Both joins sort and merge: Spark's estimate of the probes leaves out that a
+    term makes some dozen of them, so it would send millions of them through the driver as a broadcast.
     """
     parts = distance + 1
     own = F.array(*[F.struct(F.lit(k).alias("part"), F.substring(F.col("key"), at + 1, n).alias("piece")) for k, (at, n) in enumerate(_segments(F.col("key_len"), parts))])
     index = keys.select("key", "key_len", "script_rank", "seq_id", F.inline(own))
-    sized = terms.withColumn("term_len", F.char_length("term"))
+    sized = terms.select("term").distinct().withColumn("term_len", F.char_length("term"))
     around = F.sequence(F.greatest(F.lit(0), F.col("term_len") - distance), F.col("term_len") + distance)
     sized = sized.withColumn("want_len", F.explode(around))
     probes = [_pieces(k, at, n, distance) for k, (at, n) in enumerate(_segments(F.col("want_len"), parts))]
-    asked = sized.select("pos", "term", "want_len", F.inline(F.concat(*probes)))
+    asked = sized.select("term", "want_len", F.inline(F.concat(*probes))).hint("merge")
     meet = (F.col("key_len") == F.col("want_len")) & (F.col("part") == F.col("want_part")) & (F.col("piece") == F.col("want_piece"))
     near = F.levenshtein("key", "term", distance) >= 0
-    return asked.join(index, meet & near).select("pos", "term", "key", "key_len", "script_rank", "seq_id").distinct()
+    found = asked.join(index, meet & near).select("term", "key", "key_len", "script_rank", "seq_id").distinct()
+    return terms.select("pos", "term").hint("merge").join(found, "term").select("pos", "term", "key", "key_len", "script_rank", "seq_id")
 
 
 def fuzzy(terms: DataFrame, keys: DataFrame, distance: int = DEFAULT_DISTANCE) -> DataFrame:
