@@ -185,7 +185,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
     total = pieces.count()
     deal = max(1, -(-total // RANKED))
     counts = pieces.groupBy("_id", "_piece", "_crc").agg(F.count("*").alias("_n"))
-    hot = written(counts.filter((F.col("_n") > RANKED) & (F.col("_n") * HOT_SHARE > total)).select(F.col("_id").alias("_i"), F.col("_piece").alias("_p"), F.col("_crc").alias("_c")), "hot-pieces")
+    hot = written(counts.filter((F.col("_n") > RANKED) & (F.col("_n") * HOT_SHARE > total)).select(F.col("_id").alias("_i"), F.col("_piece").alias("_p"), F.col("_crc").alias("_c")), "pieces")
     met = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_piece") == F.col("_p")) & (F.col("_crc") == F.col("_c"))
     salt = F.when(F.col("_c").isNull(), 0).otherwise(F.pmod(F.xxhash64("_serial"), F.lit(DEALS)))
     rows = pieces.join(F.broadcast(hot), met, "left").withColumn("_salt", salt)
