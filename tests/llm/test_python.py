@@ -286,6 +286,32 @@ def test_drop_similar(spark, monkeypatch, dense):
     assert near.drop_similar(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("dense", "block"), [(24, 100_000), (2, 100_000), (24, 70)])
+def test_wide_index_grows_with_its_nodes(spark, monkeypatch, dense, block):
+    """A large group of near copies makes a few links a node, which join what all its pairs would; then all pairs across components."""
+    monkeypatch.setattr(near, "DENSE", dense)
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 32, np.uint8)
+    of_base = np.where(rng.random((90, 256)) < 0.04, 1, 0).astype(np.uint8)
+    lanes = np.concatenate([np.packbits(np.unpackbits(base) ^ of_base, axis=1).view(np.uint64), rng.integers(0, 2**63, (20, 4), np.uint64)])
+    rows = [(k, *map(int, x.view(np.int64))) for k, x in enumerate(lanes)]
+    nodes = spark.createDataFrame(rows, "_node bigint, _w0 bigint, _w1 bigint, _w2 bigint, _w3 bigint")
+    assert block < len(rows) or near.index_groups(nodes, len(rows)).count() == 24 * len(rows)
+    want = set()
+    for a in range(len(rows)):
+        same = (lanes ^ lanes[a]).view(np.uint8).reshape(-1, 4, 8) == 0
+        ok = (same.sum(2).max(1) >= 3) & (same.sum((1, 2)) >= near.SHARED) & (np.bitwise_count(lanes ^ lanes[a]).sum(1, dtype=int) <= near.BITS)
+        want |= {(a, b) for b in np.nonzero(ok)[0].tolist() if b > a}
+    links = near.in_groups(nodes, len(rows)).collect()
+    assert {(r["_a"], r["_b"]) for r in links} <= want and (block < len(rows) or len(links) < 24 * 90 < len(want))
+    label = lambda pairs: {r["_node"]: r["_label"] for r in components.component_labels(spark.createDataFrame(list(pairs), "_a bigint, _b bigint")).collect()}
+    assert label((r["_a"], r["_b"]) for r in links) == label(want)
+    across = near.in_groups(nodes.selectExpr("*", "_node % 3 AS _of"), len(rows)).collect()
+    assert {(r["_a"], r["_b"]) for r in across} == {(a, b) for a, b in want if a % 3 != b % 3}
+    assert len(across) == len({(r["_a"], r["_b"]) for r in across})
+
+
 def test_ids_that_repeat_across_groups(spark):
     a, b = "the of and to in is that for it was on are with as his they", "der die und in den von zu das mit sich des auf ist im dem nicht"
     one = lambda d, t: (d, t, "en", "a", 1, True, "", "", "")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, bounded_batches, nested, written
+from .common import bounded_batches, nested, written
 from .components import component_labels
 
 #: Longs of a fingerprint; each has eight byte positions.
@@ -23,11 +23,11 @@ WORDS = [f"_w{i}" for i in range(LANES)]
 #: Count filter: of the 32 positional bytes, so many must be shared; then at most so many bits may differ.
 #: At similarity 0.8 a byte is shared with probability 0.27 or more and some 36 bits differ, give or take 6.
 SHARED, BITS = 4, 50
-#: Fingerprints under one key that are joined pair by pair; denser keys go through in_blocks().
-DENSE = 2
-#: Fingerprints of a dense key compared at once, rows of other keys that one task compares, and fingerprints indexed by one task.
-BLOCK, TOGETHER, INDEXED = 2048, 20_000, 4_000
-#: Dropped rows up to this number (some 20 bytes each) are broadcast to the filter.
+#: Fingerprints under one key that are compared pair by pair at once; denser keys give the links of a spanning forest.
+DENSE = 24
+#: Rows that one group of the index should have, and the most of them that are one block (some 40 bytes each); pairs compared at once.
+TOGETHER, BLOCK, AT_ONCE = 8_000, 100_000, 200_000
+#: Dropped rows, or nodes whose texts are wanted, up to this number (some 20 bytes each) are broadcast to the filter.
 BROADCAST_ROWS = 500_000
 
 
@@ -93,15 +93,26 @@ def fingerprints(docs: DataFrame, text: str, doc_id: str, shingle: int) -> DataF
     return written(rows.mapInArrow(run, schema), "wide-fingerprints")
 
 
-def postings(nodes: DataFrame) -> DataFrame:
-    """_key and _node: the inverted index. A key is three byte positions of one lane with their bytes."""
-    triples = list(combinations(range(8), 3))
-    lanes = F.array(*[F.struct(F.lit(len(triples) * (2 * i - LANES) // 2).alias("k"), F.col(w).alias("w")) for i, w in enumerate(WORDS)])
-    rows = nodes.select("_node", F.inline(lanes))
-    rows = rows.select("_node", "k", *[F.shiftrightunsigned("w", 8 * p).bitwiseAND(F.lit(255)).cast("int").alias(f"_b{p}") for p in range(8)])
-    byte = lambda p: F.col(f"_b{p}")
-    keys = [F.shiftleft(F.col("k") + j, 24).bitwiseOR(F.shiftleft(byte(p), 16)).bitwiseOR(F.shiftleft(byte(q), 8)).bitwiseOR(byte(r)) for j, (p, q, r) in enumerate(triples)]
-    return rows.select("_node", F.explode(F.array(*keys)).alias("_key"))
+def index_groups(nodes: DataFrame, total: int) -> DataFrame:
+    """nodes, a row for each group of the inverted index that they belong to: _g, and _i <= _j, the blocks compared there.
+
+    A key of the index is three byte positions of one lane with their bytes. Keys are dealt by lane, first position and
+    a range of its byte, so a node goes with its whole fingerprint to LANES * 6 groups, not to as many places as it has keys
+    (LANES * 56), and whatever keys a group holds are met within it. Groups of more than BLOCK rows are
+    dealt by hash into blocks, and each pair of blocks is met by itself.
+    """
+    ranges = min(256, max(1, -(-total // TOGETHER)))
+    byte = lambda w, p: F.shiftrightunsigned(w, 8 * p).bitwiseAND(F.lit(255))
+    groups = [F.lit((8 * i + p) << 8) + F.floor(byte(w, p) * ranges / 256) for i, w in enumerate(WORDS) for p in range(6)]
+    rows = nodes.withColumn("_g", F.explode(F.array(*[g.cast("int") for g in groups])))
+    if total <= BLOCK:
+        return rows.withColumns({"_i": F.lit(0), "_j": F.lit(0)})
+    large = rows.groupBy("_g").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > BLOCK)  # of at most LANES * 6 * 256
+    rows = rows.join(F.broadcast(large.withColumn("_blocks", F.ceil(F.col("_rows") / BLOCK).cast("int")).drop("_rows")), "_g", "left")
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("_node"), F.coalesce("_blocks", F.lit(1))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1), lambda i: F.col("_blocks").isNull() | (i != F.col("_own")))
+    rows = rows.withColumn("_with", F.explode(others))
+    return rows.withColumns({"_i": F.least("_own", "_with"), "_j": F.greatest("_own", "_with")}).drop("_blocks", "_own", "_with")
 
 
 def differing_bits(a: str, b: str) -> Column:
@@ -160,62 +171,106 @@ def crossing_pairs(lanes: np.ndarray, of: np.ndarray) -> list[tuple[int, int, in
     return out
 
 
-def in_blocks(dense: DataFrame, pick: Callable) -> DataFrame:
-    """_a < _b and _bits of what pick(lanes, components) finds among the fingerprints of each dense key.
+def close(lanes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows (place, place, bits) of those pairs of places that pass both filters."""
+    x = lanes[a] ^ lanes[b]
+    bits = np.bitwise_count(x).sum(1, dtype=np.int64)
+    ok = np.nonzero(bits <= BITS)[0]
+    ok = ok[(x[ok].view(np.uint8).reshape(len(ok), 8 * LANES) == 0).sum(1) >= SHARED]
+    return np.stack([a[ok], b[ok], bits[ok]], 1)
 
-    dense: _key, _n, _node, WORDS, _of. A key's fingerprints are dealt by hash into blocks of about BLOCK, and each pair
-    of blocks is a group of its own, so no task holds more than two blocks, however many share the key. Keys of one block
-    are dealt by hash into groups of some TOGETHER rows and taken one after another.
-    """
-    deal = max(1, -(-dense.count() // TOGETHER))
-    rows = dense.withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: (F.col("_blocks") == 1) | (i != F.col("_own")))
-    rows = rows.withColumn("_with", F.explode(others))
-    group = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("_key"), F.lit(deal))).otherwise(F.col("_key").cast("bigint") + (1 << 40))
-    rows = rows.select(group.alias("_g"), "_key", F.least("_own", "_with").alias("_i"), F.greatest("_own", "_with").alias("_j"), "_node", "_of", *WORDS)
 
-    def run(t: pa.Table) -> pa.Table:
-        key, node, of = (t[c].to_numpy() for c in ("_key", "_node", "_of"))
-        lanes = np.stack([t[w].to_numpy() for w in WORDS], 1).view(np.uint64)  # bit counts of signed numbers go by size
+def met(lanes: np.ndarray, group: int, of: np.ndarray | None, pick: Callable) -> np.ndarray:
+    """Rows (place, place, bits), each pair once, of pairs that meet under a key of the group and pass both filters.
+
+    of: components, then only pairs across them. Keys of up to DENSE fingerprints give all such pairs, denser ones
+    what pick(lanes, components) finds among theirs.
+    """
+    lane, p = divmod(group >> 8, 8)
+    own = lanes.view(np.uint8).reshape(len(lanes), 8 * LANES)[:, 8 * lane : 8 * lane + 8].astype(np.int32)
+    found = [np.zeros((0, 3), np.int64)]
+    for q, r in combinations(range(p + 1, 8), 2):
+        key = own[:, p] << 16 | own[:, q] << 8 | own[:, r]
         order = np.argsort(key, kind="stable")
-        found = [np.zeros((0, 3), np.int64)]
-        for own in np.split(order, np.nonzero(np.diff(key[order]))[0] + 1):
-            links = np.array(pick(np.ascontiguousarray(lanes[own]), of[own]), np.int64).reshape(-1, 3)
-            found.append(np.stack([node[own[links[:, 0]]], node[own[links[:, 1]]], links[:, 2]], 1))
-        links = np.concatenate(found)
-        return pa.table({"_a": links[:, 0], "_b": links[:, 1], "_bits": pa.array(links[:, 2].astype(np.int32))})
+        first = np.nonzero(np.diff(key[order], prepend=-1))[0]
+        size = np.diff(first, append=len(order))
+        after = np.repeat(first + np.where(size <= DENSE, size, 0), size) - np.arange(len(order)) - 1  # rows that follow under the key
+        at, step = np.nonzero(after >= 1)[0], 1
+        while len(at):
+            for some in np.split(at, range(AT_ONCE, len(at), AT_ONCE)):
+                a, b = order[some], order[some + step]
+                if of is not None:
+                    a, b = a[of[a] != of[b]], b[of[a] != of[b]]
+                found.append(close(lanes, a, b))
+            step += 1
+            at = at[after[at] >= step]
+        for k in np.nonzero(size > DENSE)[0].tolist():
+            run = order[first[k] : first[k] + size[k]]
+            links = np.array(pick(np.ascontiguousarray(lanes[run]), None if of is None else of[run]), np.int64).reshape(-1, 3)
+            found.append(np.stack([run[links[:, 0]], run[links[:, 1]], links[:, 2]], 1))
+        found = [np.concatenate(found)]
+        found[0][:, :2].sort(1)
+        found = [found[0][np.unique(found[0][:, 0] * len(lanes) + found[0][:, 1], return_index=True)[1]]]
+    return found[0]
+
+
+def spanning(links: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links (place, place, bits) of a minimum spanning forest, and the tree of each of n places, by Boruvka's rounds."""
+    links = links[np.argsort(links[:, 2], kind="stable")]  # a link's place breaks ties
+    tree, kept = np.arange(n), np.zeros(len(links), bool)
+    left = np.arange(len(links))
+    while len(left):
+        best = np.full(n, len(links))
+        for end in (0, 1):
+            np.minimum.at(best, tree[links[left, end]], left)
+        has = np.nonzero(best < len(links))[0]
+        kept[best[has]] = True
+        a, b = tree[links[best[has], 0]], tree[links[best[has], 1]]
+        parent = np.arange(n)
+        parent[has] = np.where(a == has, b, a)
+        twins = (parent[parent[has]] == has) & (has < parent[has])  # two that chose the same link: one is the root
+        parent[has[twins]] = has[twins]
+        while not np.array_equal(parent, up := parent[parent]):
+            parent = up
+        tree = parent[tree]
+        left = left[tree[links[left, 0]] != tree[links[left, 1]]]
+    return links[kept], tree
+
+
+def in_groups(nodes: DataFrame, total: int) -> DataFrame:
+    """_a < _b, _bits and _alone of links between nodes that meet in the index and pass both filters.
+
+    nodes: _node and WORDS, and perhaps _of. Without _of: the links of each group's minimum spanning forest; _alone says that
+    no other pair of the group touches the two. With _of, their components: all pairs across these.
+    """
+    across = "_of" in nodes.columns
+    schema = "_a bigint, _b bigint, _bits int, _alone boolean"
 
-    found = rows.groupBy("_g", "_i", "_j").applyInArrow(run, "_a bigint, _b bigint, _bits int")
-    return found.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"), "_bits").distinct()
+    def run(t: pa.Table) -> pa.Table:
+        node, of = t["_node"].to_numpy(), t["_of"].to_numpy() if across else None
+        links, alone = np.zeros((0, 3), np.int64), np.zeros(0, bool)
+        if len(node) > 1 and (of is None or (of != of[0]).any()):
+            lanes = np.stack([t[w].to_numpy() for w in WORDS], 1).view(np.uint64)  # bit counts of signed numbers go by size
+            links = met(lanes, t["_g"][0].as_py(), of, crossing_pairs if across else least_links)
+            alone = np.zeros(len(links), bool)
+            if not across:
+                links, tree = spanning(links, len(node))
+                alone = np.bincount(tree, minlength=len(node))[tree[links[:, 0]]] == 2
+        a, b = node[links[:, 0]], node[links[:, 1]]
+        return pa.table({"_a": np.minimum(a, b), "_b": np.maximum(a, b), "_bits": pa.array(links[:, 2].astype(np.int32)), "_alone": alone})
+
+    found = index_groups(nodes, total).groupBy("_g", "_i", "_j").applyInArrow(run, schema)
+    return found.groupBy("_a", "_b").agg(F.first("_bits").alias("_bits"), F.bool_and("_alone").alias("_alone"))
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """_a < _b and _bits: pairs of nodes that meet under a key and pass the count filter and the bits. And the dense keys' rows.
+def shingle_sets(docs: DataFrame, text: str, shingle: int, pairs: DataFrame) -> DataFrame:
+    """_node and _set (its distinct shingle hashes) of the nodes in pairs, written to the shared folder.
 
-    nodes: a written table of _node and WORDS. Keys of one node are dropped. Pairs under keys of DENSE nodes or fewer are all
-    tallied; of denser keys the pairs hold the links of minimum spanning forests. The few hot keys are met by broadcast; the
-    others by a shuffle at any size, as they grow with the documents.
+    Up to BROADCAST_ROWS nodes are broadcast, so that only their texts are shuffled, not all that there are.
     """
-    index = postings(nodes.repartition(max(1, -(-nodes.count() // INDEXED))))
-    sizes = written(index.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1"), "key-sizes")
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    is_hot = F.col("_n") * HOT_SHARE > total
-    hot = F.broadcast(sizes.filter(is_hot))
-    cold = index.join(hot.select("_key"), "_key", "left_anti").join(sizes.filter(~is_hot).hint("merge"), "_key")
-    met = index.join(hot, "_key").unionByName(cold)
-    shared = written(met.join(nodes, "_node"), "shared-keys")
-    sparse, dense = shared.filter(F.col("_n") <= DENSE).drop("_n"), shared.filter(F.col("_n") > DENSE)
-    a, b = sparse.alias("a"), sparse.alias("b")
-    tally = shared_bytes("a", "b") >= SHARED
-    pairs = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a._node") < F.col("b._node")) & tally & (differing_bits("a", "b") <= BITS))
-    pairs = pairs.select(F.col("a._node").alias("_a"), F.col("b._node").alias("_b"), differing_bits("a", "b").cast("int").alias("_bits"))
-    forests = in_blocks(dense.withColumn("_of", F.col("_node")), least_links)
-    return written(pairs.unionByName(forests).distinct(), "candidates"), dense
-
-
-def shingle_sets(docs: DataFrame, text: str, shingle: int, pairs: DataFrame) -> DataFrame:
-    """_node and _set (its distinct shingle hashes) of the nodes in pairs, written to the shared folder."""
-    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
+    wanted = written(pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(t).alias("_node"), t.alias("_text")).join(wanted, "_node", "left_semi").groupBy("_node").agg(F.first("_text").alias("_text"))
 
@@ -248,26 +303,29 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, text: str, doc_id: str, shingle: int, similarity: float) -> DataFrame:
     """_id, _node and _component (a node's hash) of each row; a written table.
 
-    1. Each node's nearest candidate is verified. 2. Of the other candidates those are that would join different
-    components. 3. Dense keys that still hold several components give all pairs across them, and these are verified too. So every pair that
-    passes the filters is verified or lies within a component, and a large group costs a few verifications a node.
+    Candidates are the links of minimum spanning forests, one in each group of the index. 1. Each node's nearest candidate is verified.
+    2. Of the others those are that would join different components. 3. Nodes that are in a tree of three or more, where pairs
+    were left out, are met again: all pairs across components are verified too. So every pair that passes the
+    filters is verified or lies within a component, and a large group costs a few verifications a node.
     """
     rows = fingerprints(docs, text, doc_id, shingle)
     nodes = written(rows.groupBy("_node").agg(*[F.min(w).alias(w) for w in WORDS]), "nodes")
-    pairs, dense = candidates(nodes)
+    total = nodes.count()
+    pairs = written(in_groups(nodes, total), "candidates")
+    again = pairs.filter("not _alone").select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
     sets = shingle_sets(docs, text, shingle, pairs.select("_a", "_b"))
     ends = pairs.select("_a", "_b", "_bits", F.explode(F.array("_a", "_b")).alias("_end"))
     nearest = ends.groupBy("_end").agg(F.min(F.struct("_bits", "_a", "_b")).alias("_m")).select("_m._a", "_m._b").distinct()
     tried = nearest = written(nearest, "nearest")
     labels = written(component_labels(verified(nearest, sets, similarity)), "labels")
-    for step in ("candidates", "dense"):
+    for step in ("candidates", "again"):
         name = lambda x, labels=labels: labels.select(F.col("_node").alias(x), F.col("_label").alias(f"_of{x}"))
-        if step == "dense":
-            if dense.isEmpty():
+        if step == "again":
+            of = nodes.join(again, "_node", "left_semi").join(name("_node"), "_node", "left")
+            of = written(of.select("_node", *WORDS, F.coalesce("_of_node", "_node").alias("_of")), "again")
+            if not (total := of.count()):
                 break
-            of = dense.join(name("_node"), "_node", "left").withColumn("_of", F.coalesce("_of_node", "_node")).drop("_of_node")
-            mixed = of.groupBy("_key").agg(F.min("_of").alias("_x"), F.max("_of").alias("_y")).filter("_x <> _y").select("_key")
-            pairs = written(in_blocks(of.join(mixed, "_key", "left_semi"), crossing_pairs).select("_a", "_b").distinct(), "crossing")
+            pairs = written(in_groups(of, total).select("_a", "_b"), "crossing")
             sets = shingle_sets(docs, text, shingle, pairs)
         rest = pairs.select("_a", "_b").join(tried, ["_a", "_b"], "left_anti").join(name("_a"), "_a", "left").join(name("_b"), "_b", "left")
         rest = written(rest.filter(F.coalesce("_of_a", "_a") != F.coalesce("_of_b", "_b")).select("_a", "_b"), "rest")
