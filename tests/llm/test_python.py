@@ -312,6 +312,52 @@ def test_wide_index_grows_with_its_nodes(spark, monkeypatch, dense, block):
     assert len(across) == len({(r["_a"], r["_b"]) for r in across})
 
 
+def changed_copies(n, changes, seed):
+    """Texts of 150 words, all of one text with so many words changed, and a few others."""
+    rng = random.Random(seed)
+    base, out = [f"w{rng.randrange(400)}" for _ in range(150)], []
+    for k in range(n):
+        w = list(base)
+        for i in rng.sample(range(150), rng.choice(changes)):
+            w[i] = f"own{k}x{i}"
+        out.append(" ".join(w))
+    return out + [" ".join(f"v{rng.randrange(400)}" for _ in range(150)) for _ in range(20)]
+
+
+def test_near_pairs_below_the_similarity_make_no_rows(spark, monkeypatch):
+    """Candidates across the components of a large group grow with its square; the tables made on the way do not."""
+    made, into = [], near.written
+    monkeypatch.setattr(near, "written", lambda df, name: made.append((into(df, name), name)) or made[-1][0])
+    data = [(k, t, "en", "a", 1, True, "", "", "") for k, t in enumerate(changed_copies(300, [3], 8))]
+    left = near.drop_similar(H.frame(spark, data)).count()
+    groups = set(jaccard_groups(data).values())
+    assert len(groups) <= left <= 1.1 * len(groups)  # the similarity is exact, so only what the index misses stays besides
+    again = next(df for df, name in made if name == "again")
+    assert near.in_groups(again, again.count()).count() > 24 * len(data)
+    assert {name for df, name in made if df.count() > 24 * len(data)} == set()
+
+
+@pytest.mark.parametrize(("dense", "block", "hashes"), [(24, 100_000, 2_000_000), (2, 100_000, 5_000), (24, 70, 5_000)])
+def test_crossing_links_join_what_all_pairs_would(spark, monkeypatch, dense, block, hashes):
+    monkeypatch.setattr(near, "DENSE", dense)
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "HASHES", hashes)
+    texts = [*changed_copies(110, [1, 2, 3], 9), "", " \n"]
+    hashed = [near.shingle_set(t, 5).view(np.int64).tolist() for t in texts]
+    rows = [(k, *near.wide_fingerprint(np.array(s, np.int64).view(np.uint64)).tolist(), k % 7 if k < 60 else k, s) for k, s in enumerate(hashed)]
+    df = spark.createDataFrame(rows, "_node bigint, _w0 bigint, _w1 bigint, _w2 bigint, _w3 bigint, _of bigint, _set array<bigint>")
+    nodes, sets = df.drop("_set"), df.select("_node", "_set")
+    similar = lambda a, b: len({*hashed[a]} & {*hashed[b]}) >= 0.8 * len({*hashed[a]} | {*hashed[b]})
+    want = {(r["_a"], r["_b"]) for r in near.in_groups(nodes, len(rows)).collect() if similar(r["_a"], r["_b"])}
+    got = {tuple(sorted((r["_a"], r["_b"]))) for r in near.crossing_links(nodes, len(rows), sets, 0.8).collect()}
+    assert (len(texts) - 2, len(texts) - 1) in want and got <= want
+    of = {r[0]: 1000 + r[5] for r in rows}
+    label = lambda pairs: {r["_node"]: r["_label"] for r in components.component_labels(spark.createDataFrame([*pairs, *of.items()], "_a bigint, _b bigint")).collect()}
+    assert label(got) == label(want)
+    found = near.crossing_nodes(nodes, len(rows)).collect()
+    assert len(found) == len({(r["_g"], r["_node"]) for r in found}) <= 24 * len(rows)
+
+
 def test_ids_that_repeat_across_groups(spark):
     a, b = "the of and to in is that for it was on are with as his they", "der die und in den von zu das mit sich des auf ist im dem nicht"
     one = lambda d, t: (d, t, "en", "a", 1, True, "", "", "")

@@ -5,7 +5,7 @@ The 64-bit form of simhash.py links fingerprints within four bits, which near co
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +27,8 @@ SHARED, BITS = 4, 50
 DENSE = 24
 #: Rows that one group of the index should have, and the most of them that are one block (some 40 bytes each); pairs compared at once.
 TOGETHER, BLOCK, AT_ONCE = 8_000, 100_000, 200_000
+#: Shingle hashes (8 bytes each) of the texts that are one block where sets are compared.
+HASHES = 2_000_000
 #: Dropped rows, or nodes whose texts are wanted, up to this number (some 20 bytes each) are broadcast to the filter.
 BROADCAST_ROWS = 500_000
 
@@ -105,10 +107,14 @@ def index_groups(nodes: DataFrame, total: int) -> DataFrame:
     byte = lambda w, p: F.shiftrightunsigned(w, 8 * p).bitwiseAND(F.lit(255))
     groups = [F.lit((8 * i + p) << 8) + F.floor(byte(w, p) * ranges / 256) for i, w in enumerate(WORDS) for p in range(6)]
     rows = nodes.withColumn("_g", F.explode(F.array(*[g.cast("int") for g in groups])))
-    if total <= BLOCK:
-        return rows.withColumns({"_i": F.lit(0), "_j": F.lit(0)})
-    large = rows.groupBy("_g").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > BLOCK)  # of at most LANES * 6 * 256
-    rows = rows.join(F.broadcast(large.withColumn("_blocks", F.ceil(F.col("_rows") / BLOCK).cast("int")).drop("_rows")), "_g", "left")
+    large = rows.groupBy("_g").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > BLOCK)
+    return in_blocks(rows, large.select("_g", F.ceil(F.col("_rows") / BLOCK).cast("int").alias("_blocks")))
+
+
+def in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """rows (_g, _node and more), a row for each pair of blocks, _i <= _j, that a row's block is in; blocks: _g and _blocks, two at
+    least, of the groups that have so many, at most LANES * 6 * 256 of them."""
+    rows = rows.join(F.broadcast(blocks), "_g", "left")
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("_node"), F.coalesce("_blocks", F.lit(1))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1), lambda i: F.col("_blocks").isNull() | (i != F.col("_own")))
     rows = rows.withColumn("_with", F.explode(others))
@@ -142,7 +148,7 @@ def compared(lanes: np.ndarray, at: int) -> np.ndarray:
     return out
 
 
-def least_links(lanes: np.ndarray, of: np.ndarray) -> list[tuple[int, int, int]]:
+def least_links(lanes: np.ndarray) -> list[tuple[int, int, int]]:
     """(place, place, bits) of the links of a minimum spanning forest over pairs that pass both filters, by Prim's steps."""
     left = np.ones(len(lanes), bool)
     best, via = np.full(len(lanes), BITS + 1), np.zeros(len(lanes), np.int64)
@@ -158,19 +164,6 @@ def least_links(lanes: np.ndarray, of: np.ndarray) -> list[tuple[int, int, int]]
     return out
 
 
-def crossing_pairs(lanes: np.ndarray, of: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place, place, bits) of all pairs that pass both filters and belong to different components.
-
-    All but the most frequent component's members are compared with every other fingerprint.
-    """
-    names, counts = np.unique(of, return_counts=True)
-    out = []
-    for at in np.nonzero(of != names[counts.argmax()])[0].tolist() if len(names) > 1 else []:
-        bits = compared(lanes, at)
-        out += [(at, j, int(bits[j])) for j in np.nonzero((bits <= BITS) & (of != of[at]))[0].tolist()]
-    return out
-
-
 def close(lanes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rows (place, place, bits) of those pairs of places that pass both filters."""
     x = lanes[a] ^ lanes[b]
@@ -180,33 +173,39 @@ def close(lanes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([a[ok], b[ok], bits[ok]], 1)
 
 
-def met(lanes: np.ndarray, group: int, of: np.ndarray | None, pick: Callable) -> np.ndarray:
-    """Rows (place, place, bits), each pair once, of pairs that meet under a key of the group and pass both filters.
-
-    of: components, then only pairs across them. Keys of up to DENSE fingerprints give all such pairs, denser ones
-    what pick(lanes, components) finds among theirs.
-    """
+def keys(lanes: np.ndarray, group: int) -> Iterator[tuple[tuple[int, int, int, int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(lane and three positions, places by key, each key's first among them, each key's size) of the group's triples of positions."""
     lane, p = divmod(group >> 8, 8)
     own = lanes.view(np.uint8).reshape(len(lanes), 8 * LANES)[:, 8 * lane : 8 * lane + 8].astype(np.int32)
-    found = [np.zeros((0, 3), np.int64)]
     for q, r in combinations(range(p + 1, 8), 2):
         key = own[:, p] << 16 | own[:, q] << 8 | own[:, r]
         order = np.argsort(key, kind="stable")
         first = np.nonzero(np.diff(key[order], prepend=-1))[0]
-        size = np.diff(first, append=len(order))
-        after = np.repeat(first + np.where(size <= DENSE, size, 0), size) - np.arange(len(order)) - 1  # rows that follow under the key
-        at, step = np.nonzero(after >= 1)[0], 1
-        while len(at):
-            for some in np.split(at, range(AT_ONCE, len(at), AT_ONCE)):
-                a, b = order[some], order[some + step]
-                if of is not None:
-                    a, b = a[of[a] != of[b]], b[of[a] != of[b]]
-                found.append(close(lanes, a, b))
-            step += 1
-            at = at[after[at] >= step]
+        yield (lane, p, q, r), order, first, np.diff(first, append=len(order))
+
+
+def few_together(order: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places under each key of up to DENSE, at most AT_ONCE at a time."""
+    after = np.repeat(first + np.where(size <= DENSE, size, 0), size) - np.arange(len(order)) - 1  # rows that follow under the key
+    at, step = np.nonzero(after >= 1)[0], 1
+    while len(at):
+        for some in np.split(at, range(AT_ONCE, len(at), AT_ONCE)):
+            yield order[some], order[some + step]
+        step += 1
+        at = at[after[at] >= step]
+
+
+def met(lanes: np.ndarray, group: int) -> np.ndarray:
+    """Rows (place, place, bits), each pair once, of pairs that meet under a key of the group and pass both filters.
+
+    Keys of up to DENSE fingerprints give all such pairs, denser ones the links of a minimum spanning forest.
+    """
+    found = [np.zeros((0, 3), np.int64)]
+    for _, order, first, size in keys(lanes, group):
+        found += [close(lanes, a, b) for a, b in few_together(order, first, size)]
         for k in np.nonzero(size > DENSE)[0].tolist():
             run = order[first[k] : first[k] + size[k]]
-            links = np.array(pick(np.ascontiguousarray(lanes[run]), None if of is None else of[run]), np.int64).reshape(-1, 3)
+            links = np.array(least_links(np.ascontiguousarray(lanes[run])), np.int64).reshape(-1, 3)
             found.append(np.stack([run[links[:, 0]], run[links[:, 1]], links[:, 2]], 1))
         found = [np.concatenate(found)]
         found[0][:, :2].sort(1)
@@ -214,6 +213,34 @@ def met(lanes: np.ndarray, group: int, of: np.ndarray | None, pick: Callable) ->
     return found[0]
 
 
+def across(lanes: np.ndarray, group: int, of: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (place, place, bits) of all pairs of different components (of) that pass both filters and meet in this group first.
+
+    A pair meets first under the first three bytes that it shares in the first lane where it shares three, so it comes once,
+    whatever keys and groups it has in common. A piece holds pairs of few places or of one with many: all are never held at once.
+    Under a dense key all but the most frequent component's members are compared with every other fingerprint.
+    """
+    for (lane, _, _, r), order, first, size in keys(lanes, group):
+
+        def here(found: np.ndarray, lane: int = lane, r: int = r) -> np.ndarray:
+            x = lanes[found[:, 0]] ^ lanes[found[:, 1]]
+            same = x.view(np.uint8).reshape(len(x), LANES, 8) == 0
+            return found[(same[:, lane, : r + 1].sum(1) == 3) & (same[:, :lane].sum(2).max(1, initial=0) < 3)]
+
+        for a, b in few_together(order, first, size):
+            some = of[a] != of[b]
+            yield here(close(lanes, a[some], b[some]))
+        for k in np.nonzero(size > DENSE)[0].tolist():
+            run = order[first[k] : first[k] + size[k]]
+            own, (names, counts) = np.ascontiguousarray(lanes[run]), np.unique(of[run], return_counts=True)
+            most = names[counts.argmax()]
+            for at in np.nonzero(of[run] != most)[0].tolist() if len(names) > 1 else []:
+                bits = compared(own, at)
+                j = np.nonzero(bits <= BITS)[0]
+                j = j[(of[run[j]] == most) | (of[run[j]] != of[run[at]]) & (j > at)]
+                yield here(np.stack([np.full(len(j), run[at]), run[j], bits[j]], 1))
+
+
 def spanning(links: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The links (place, place, bits) of a minimum spanning forest, and the tree of each of n places, by Boruvka's rounds."""
     links = links[np.argsort(links[:, 2], kind="stable")]  # a link's place breaks ties
@@ -237,25 +264,28 @@ def spanning(links: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return links[kept], tree
 
 
+def lanes_of(t: pa.Table) -> np.ndarray:
+    return np.stack([t[w].to_numpy() for w in WORDS], 1).view(np.uint64)  # bit counts of signed numbers go by size
+
+
 def in_groups(nodes: DataFrame, total: int) -> DataFrame:
     """_a < _b, _bits and _alone of links between nodes that meet in the index and pass both filters.
 
     nodes: _node and WORDS, and perhaps _of. Without _of: the links of each group's minimum spanning forest; _alone says that
-    no other pair of the group touches the two. With _of, their components: all pairs across these.
+    no other pair of the group touches the two. With _of, their components: all pairs across these, whose number
+    grows with the square of a large group's size; crossing_links() needs no rows of them.
     """
-    across = "_of" in nodes.columns
+    by_component = "_of" in nodes.columns
     schema = "_a bigint, _b bigint, _bits int, _alone boolean"
 
     def run(t: pa.Table) -> pa.Table:
-        node, of = t["_node"].to_numpy(), t["_of"].to_numpy() if across else None
-        links, alone = np.zeros((0, 3), np.int64), np.zeros(0, bool)
-        if len(node) > 1 and (of is None or (of != of[0]).any()):
-            lanes = np.stack([t[w].to_numpy() for w in WORDS], 1).view(np.uint64)  # bit counts of signed numbers go by size
-            links = met(lanes, t["_g"][0].as_py(), of, crossing_pairs if across else least_links)
+        node, links, alone = t["_node"].to_numpy(), np.zeros((0, 3), np.int64), np.zeros(0, bool)
+        if by_component:
+            links = np.concatenate([links, *across(lanes_of(t), t["_g"][0].as_py(), t["_of"].to_numpy())])
             alone = np.zeros(len(links), bool)
-            if not across:
-                links, tree = spanning(links, len(node))
-                alone = np.bincount(tree, minlength=len(node))[tree[links[:, 0]]] == 2
+        elif len(node) > 1:
+            links, tree = spanning(met(lanes_of(t), t["_g"][0].as_py()), len(node))
+            alone = np.bincount(tree, minlength=len(node))[tree[links[:, 0]]] == 2
         a, b = node[links[:, 0]], node[links[:, 1]]
         return pa.table({"_a": np.minimum(a, b), "_b": np.maximum(a, b), "_bits": pa.array(links[:, 2].astype(np.int32)), "_alone": alone})
 
@@ -263,6 +293,84 @@ def in_groups(nodes: DataFrame, total: int) -> DataFrame:
     return found.groupBy("_a", "_b").agg(F.first("_bits").alias("_bits"), F.bool_and("_alone").alias("_alone"))
 
 
+def crossing_nodes(nodes: DataFrame, total: int) -> DataFrame:
+    """_g and _node: the groups of the index where a node first meets one of another component (_of) and both filters pass."""
+
+    def run(t: pa.Table) -> pa.Table:
+        group, of, meets = t["_g"][0].as_py(), t["_of"].to_numpy(), np.zeros(len(t), bool)
+        if (of != of[0]).any():
+            for found in across(lanes_of(t), group, of):
+                meets[found[:, :2]] = True
+        return pa.table({"_g": pa.array(np.full(meets.sum(), group, np.int32)), "_node": t["_node"].to_numpy()[meets]})
+
+    return index_groups(nodes, total).groupBy("_g", "_i", "_j").applyInArrow(run, "_g int, _node bigint").distinct()
+
+
+def alike(codes: np.ndarray, starts: np.ndarray, a: int, others: np.ndarray, mark: np.ndarray, similarity: float) -> np.ndarray:
+    """Of other places those whose sets have at least this Jaccard similarity to a's, exactly. codes[starts[i] : starts[i + 1]] is
+    place i's set; mark: False for every code."""
+    sizes, own = np.diff(starts)[others], codes[starts[a] : starts[a + 1]]
+    may = np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own))
+    others, sizes = others[may], sizes[may]
+    mark[own] = True
+    hits = np.concatenate([own[:0], *(codes[starts[i] : starts[i + 1]] for i in others.tolist())])
+    upto = np.concatenate([[0], np.cumsum(mark[hits])])
+    mark[own] = False
+    ends = np.cumsum(sizes)
+    both = upto[ends] - upto[ends - sizes]
+    every = sizes + len(own) - both
+    return others[(every == 0) | (both >= similarity * every)]
+
+
+def linked(pieces: Iterator[np.ndarray], of: np.ndarray, codes: np.ndarray, starts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Of pairs of places, in pieces, those that are similar and join two components: at most one fewer than there are
+    components. Each pair is verified unless its ends are joined by then."""
+    names, of = np.unique(of, return_inverse=True)
+    parent, mark, out = np.arange(len(names)), np.zeros(codes.max(initial=-1) + 1, bool), []
+
+    def root(x: np.ndarray) -> np.ndarray:
+        top = x
+        while not np.array_equal(up := parent[top], top):
+            top = up
+        parent[x] = top
+        return top
+
+    for found in pieces:
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        for one in np.split(found, np.nonzero(np.diff(found[:, 0]))[0] + 1) if len(found) else []:
+            a, others = int(one[0, 0]), one[:, 1]
+            others = others[root(of[others]) != root(of[[a]])]
+            for b in alike(codes, starts, a, others, mark, similarity).tolist() if len(others) else []:
+                x, y = root(of[[a, b]]).tolist()
+                if x != y:
+                    parent[x] = y
+                    out.append((a, b))
+    return out
+
+
+def crossing_links(nodes: DataFrame, total: int, sets: DataFrame, similarity: float) -> DataFrame:
+    """_a and _b: similar pairs that join the components (_of) of nodes as all similar pairs in the index would.
+
+    Candidates stay within the group where they first meet and are verified there, next to their sets, so the rows made
+    are nodes, at most one for each of a node's groups, and links, fewer than a group's nodes. Groups whose sets
+    have more than HASHES hashes are dealt into blocks, which are met in pairs.
+    """
+    found = written(crossing_nodes(nodes, total), "crossing")
+    weights = found.join(sets.select("_node", F.size("_set").alias("_size")), "_node").groupBy("_g").agg(F.ceil(F.sum("_size") / HASHES).cast("int").alias("_blocks"))
+
+    def run(t: pa.Table) -> pa.Table:
+        node, of, t = t["_node"].to_numpy(), t["_of"].to_numpy(), t.combine_chunks()
+        column = t["_set"].chunk(0)
+        starts = column.offsets.to_numpy().astype(np.int64)
+        codes = np.unique(column.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True)[1]
+        links = linked(across(lanes_of(t), t["_g"][0].as_py(), of), of, codes, starts - starts[0], similarity)
+        ends = node[np.array(links, np.int64).reshape(-1, 2)]
+        return pa.table({"_a": ends[:, 0], "_b": ends[:, 1]})
+
+    rows = in_blocks(found.join(nodes, "_node").join(sets, "_node"), weights.filter("_blocks > 1"))
+    return written(rows.groupBy("_g", "_i", "_j").applyInArrow(run, "_a bigint, _b bigint").distinct(), "links")
+
+
 def shingle_sets(docs: DataFrame, text: str, shingle: int, pairs: DataFrame) -> DataFrame:
     """_node and _set (its distinct shingle hashes) of the nodes in pairs, written to the shared folder.
 
@@ -305,8 +413,8 @@ def similar_groups(docs: DataFrame, text: str, doc_id: str, shingle: int, simila
 
     Candidates are the links of minimum spanning forests, one in each group of the index. 1. Each node's nearest candidate is verified.
     2. Of the others those are that would join different components. 3. Nodes that are in a tree of three or more, where pairs
-    were left out, are met again: all pairs across components are verified too. So every pair that passes the
-    filters is verified or lies within a component, and a large group costs a few verifications a node.
+    were left out, are met again: all pairs across components are verified too, where they meet. So every pair that passes the
+    filters is verified or lies within a component, and a large group makes a few rows a node.
     """
     rows = fingerprints(docs, text, doc_id, shingle)
     nodes = written(rows.groupBy("_node").agg(*[F.min(w).alias(w) for w in WORDS]), "nodes")
@@ -316,20 +424,18 @@ def similar_groups(docs: DataFrame, text: str, doc_id: str, shingle: int, simila
     sets = shingle_sets(docs, text, shingle, pairs.select("_a", "_b"))
     ends = pairs.select("_a", "_b", "_bits", F.explode(F.array("_a", "_b")).alias("_end"))
     nearest = ends.groupBy("_end").agg(F.min(F.struct("_bits", "_a", "_b")).alias("_m")).select("_m._a", "_m._b").distinct()
-    tried = nearest = written(nearest, "nearest")
+    nearest = written(nearest, "nearest")
     labels = written(component_labels(verified(nearest, sets, similarity)), "labels")
-    for step in ("candidates", "again"):
-        name = lambda x, labels=labels: labels.select(F.col("_node").alias(x), F.col("_label").alias(f"_of{x}"))
-        if step == "again":
-            of = nodes.join(again, "_node", "left_semi").join(name("_node"), "_node", "left")
-            of = written(of.select("_node", *WORDS, F.coalesce("_of_node", "_node").alias("_of")), "again")
-            if not (total := of.count()):
-                break
-            pairs = written(in_groups(of, total).select("_a", "_b"), "crossing")
-            sets = shingle_sets(docs, text, shingle, pairs)
-        rest = pairs.select("_a", "_b").join(tried, ["_a", "_b"], "left_anti").join(name("_a"), "_a", "left").join(name("_b"), "_b", "left")
-        rest = written(rest.filter(F.coalesce("_of_a", "_a") != F.coalesce("_of_b", "_b")).select("_a", "_b"), "rest")
-        links, tried = verified(rest, sets, similarity), tried.unionByName(rest)
+    name = lambda x: labels.select(F.col("_node").alias(x), F.col("_label").alias(f"_of{x}"))
+    rest = pairs.select("_a", "_b").join(nearest, ["_a", "_b"], "left_anti").join(name("_a"), "_a", "left").join(name("_b"), "_b", "left")
+    rest = written(rest.filter(F.coalesce("_of_a", "_a") != F.coalesce("_of_b", "_b")).select("_a", "_b"), "rest")
+    links = verified(rest, sets, similarity)
+    if not links.isEmpty():
+        labels = written(merged(labels, links), "labels")
+    of = nodes.join(again, "_node", "left_semi").join(name("_node"), "_node", "left")
+    of = written(of.select("_node", *WORDS, F.coalesce("_of_node", "_node").alias("_of")), "again")
+    if total := of.count():
+        links = crossing_links(of, total, sets, similarity)
         if not links.isEmpty():
             labels = written(merged(labels, links), "labels")
     return written(rows.select("_id", "_node").join(labels, "_node", "left").select("_id", "_node", F.coalesce("_label", "_node").alias("_component")), "groups")
